@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +19,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup,)}
+    return {f.__name__: f for f in (op7_exact_dedup, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -34,4 +41,24 @@ def oracle_sql() -> dict[str, str]:
                    sha256(norm) AS text_sha256
             FROM d WINDOW g AS (PARTITION BY norm)
         """,
+        "op8_line_dedup": r"""
+            WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+            lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+            keyed AS (
+                SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+                FROM lines
+            ),
+            frequent AS (
+                SELECT key, max(doc_id) AS max_doc FROM keyed WHERE length(key) >= 40
+                GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+            ),
+            marked AS (
+                SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.max_doc AS dropped
+                FROM keyed k LEFT JOIN frequent f ON k.key = f.key
+            )
+            SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+            FROM marked GROUP BY doc_id
+        """,
     }
