@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .line_dedup import line_dedup
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +36,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op8_line_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_packing, op7_exact_dedup, op8_line_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
