@@ -60,7 +60,7 @@ class LevelledRuns:
             .write.bucketBy(self.buckets, "hash")
             .sortBy("hash")
             .option("path", f"{self.scratch.path}/{name}")
-            .option("compression", "zstd")
+            .option("compression", "snappy")
             .format("parquet")
             .saveAsTable(name)
         )

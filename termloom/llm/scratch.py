@@ -29,7 +29,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, table: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, table: str, codec: str = "snappy") -> DataFrame:
         """Write ``df`` once and return the table read back (no recomputation later)."""
         at = f"{self.path}/{table}"
         df.write.mode("overwrite").option("compression", codec).parquet(at)
