@@ -62,15 +62,12 @@ def exact_dedup(
         keyed = keyed.join(F.broadcast(parts), "h", "left").withColumn(
             "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
         )
-    else:
-        keyed = keyed.withColumn("parts", F.lit(None).cast("int")).withColumn("part", F.lit(0))
-
-    dealt = keyed.repartitionByRange("prefix", "h", "part")
-    if not carry:
-        dealt = dealt.select("*", normalised(F.col("text")).alias("norm")).drop("text", "row")
-    else:
-        dealt = dealt.select("*", normalised(F.col("text")).alias("norm")).drop("text")
-    group = Window.partitionBy("prefix", "h", "part", "norm")
+
+    # The window is partitioned by these and the text, so it needs no exchange of its own.
+    keys = ["prefix", "h", *(["part"] if hot else [])]
+    dealt = keyed.repartitionByRange(*keys).select("*", normalised(F.col("text")).alias("norm"))
+    dealt = dealt.drop("text") if carry else dealt.drop("text", "row")
+    group = Window.partitionBy(*keys, "norm")
     ordered = group.orderBy(F.col("doc_id").asc_nulls_last())
     found = dealt.select(
         *[c for c in ("doc_id", "row", "h", "parts") if c in dealt.columns],
