@@ -12,6 +12,7 @@ from .html_text import extract_text
 from .line_dedup import line_dedup
 from .neighbours import nearest
 from .packing import pack
+from .quality import score_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -42,7 +47,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_neighbours, op7_exact_dedup, op8_line_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op7_exact_dedup, op8_line_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
