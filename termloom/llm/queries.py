@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .language_model import score_texts
 from .line_dedup import line_dedup
 from .neighbours import nearest
 from .packing import pack
@@ -33,6 +34,10 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op7_exact_dedup, op8_line_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op6_language_model, op7_exact_dedup, op8_line_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
