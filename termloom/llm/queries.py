@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_model import score_texts
 from .line_dedup import line_dedup
+from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
 from .quality import score_quality
@@ -47,12 +48,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op6_language_model, op7_exact_dedup, op8_line_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op6_language_model, op7_exact_dedup, op8_line_dedup, op9_near_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
