@@ -1 +1 @@
-"""See the module docstrings."""
+"""Column functions: text preparation and sequences of term ids."""

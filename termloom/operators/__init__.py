@@ -1 +1 @@
-"""See the module docstrings."""
+"""Operators on words, encoded collections and n-gram relations."""

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Whole computations: from lines to n-gram statistics."""

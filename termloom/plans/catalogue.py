@@ -1,9 +1,246 @@
-"""Query catalogue."""
+"""The query catalogue over the synthetic tables, and equivalent DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from functools import partial
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import sequences as seq
+from ..operators import apriori_index, closure, decode, dictionary, encode, suffix
+from ..sources.lines import lines_from_table
+from ..types import METHODS, NGramType
+from .api import ngram_statistics
+
+SUPPORT, LENGTH = 5, 5
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _lines(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    ids = {"documents": "doc_id", "conversations": ["conv_id", "turn"], "benchmark": "item_id", "pages": "page_id"}[table]
+    return lines_from_table(spark.read.parquet(f"{sf_dir}/{table}.parquet"), ids, "html" if table == "pages" else "text")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.tokens(_lines(spark, sf_dir))
+
+
+def _dictionary(words: DataFrame) -> DataFrame:
+    return dictionary.build_dictionary(dictionary.word_counts(words))
+
+
+def tokenize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = dictionary.tokenize(F.col("line"))
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.size(words).alias("n_tokens"))
+
+
+def tokenize_lines_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = dictionary.tokenize(F.col("line"), "reference")
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.size(words).alias("n_tokens"))
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.word_counts(_words(spark, sf_dir))
+
+
+def dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(_words(spark, sf_dir))
+
+
+def encoded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words(spark, sf_dir)
+    return encode.encode(words, _dictionary(words))
+
+
+def encoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = encode.collect_lines(encoded_tokens(spark, sf_dir))
+    return lines.select("doc_id", "line_no", seq.as_text(F.col("tids")).alias("tids"))
+
+
+def frequent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.frequent_terms(dictionary_ids(spark, sf_dir), SUPPORT)
+
+
+def _frequent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = _words(spark, sf_dir)
+    found = dictionary.frequent_terms(_dictionary(words), SUPPORT)
+    return encode.frequent_words(words, found, SUPPORT), found
+
+
+def frequent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.frequent_runs(_frequent(spark, sf_dir)[0]).select("doc_id", "line_no", "start", "len")
+
+
+def suffixes_sigma5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequent, words = _frequent(spark, sf_dir)
+    counts = suffix.suffix_counts(frequent, LENGTH).select(F.col("suffix").alias("gram"), F.col("count").alias("support"))
+    return decode.decode(counts, words).select(F.col("ngram").alias("suffix"), F.col("support").alias("count"))
+
+
+def _ngrams(spark: SparkSession, sf_dir: str, table: str, kind: NGramType, method: str, support: int = SUPPORT, length: int = LENGTH) -> DataFrame:
+    return ngram_statistics(_lines(spark, sf_dir, table), support, length, kind, method)
+
+
+def _one_filter(spark: SparkSession, sf_dir: str, keep: Callable, kind: NGramType) -> DataFrame:
+    frequent, words = _frequent(spark, sf_dir)
+    return decode.decode(keep(suffix.suffix_ngrams(frequent, SUPPORT, LENGTH), kind), words)
+
+
+def postings_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequent, words = _frequent(spark, sf_dir)
+    index, counts = apriori_index.keep_frequent(apriori_index.positions(frequent, 2), SUPPORT)
+    lists = apriori_index.posting_lists(index).select("gram", F.explode("postings").alias("p"))
+    named = decode.decode(counts, words, keep_gram=True)
+    return lists.join(named, "gram").select("ngram", "p.doc_id", "p.line_no", seq.as_text(F.col("p.offsets")).alias("offsets"))
+
+
+def index_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frequent, words = _frequent(spark, sf_dir)
+    lists = apriori_index.posting_lists(apriori_index.positions(frequent, 2)).where(F.col("support") >= SUPPORT)
+    totals = F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + seq.term_frequency(p["offsets"]))
+    return decode.decode(lists.select("gram", totals.alias("support")), words)
+
+
+def scalar_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's first words against its own shifted and reversed words."""
+    words = dictionary.tokenize(F.col("line"))
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", F.slice(words, 1, 6).alias("a"), F.slice(words, 1, 3).alias("p"), F.slice(words, 2, 6).alias("b"))
+    return rows.select(
+        "doc_id",
+        "line_no",
+        seq.lcp(F.col("a"), F.col("b")).alias("lcp_shifted"),
+        seq.lcp(F.col("a"), F.col("p")).alias("lcp_prefix"),
+        seq.is_prefix(F.col("p"), F.col("a")).alias("p_is_prefix"),
+        seq.is_prefix(F.col("b"), F.col("a")).alias("b_is_prefix"),
+        seq.is_suffix(F.slice("a", F.lit(2), F.lit(9)), F.col("a")).alias("tail_is_suffix"),
+        seq.is_suffix(F.col("p"), F.col("a")).alias("p_is_suffix"),
+        F.array_join(F.reverse("a"), " ").alias("reversed"),
+    )
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed n-grams by the suffix method."""
+    return _ngrams(spark, sf_dir, "documents", NGramType.CLOSED, "suffix")
+
+
+def queries() -> dict[str, Query]:
+    plain = (
+        tokenize_lines, tokenize_lines_reference, word_counts, dictionary_ids, encoded_tokens, encoded_lines, frequent_terms, frequent_runs,
+        suffixes_sigma5, postings_k2, index_support, scalar_sequences,
+    )
+    found: dict[str, Query] = {f.__name__: f for f in plain}
+    for kind in NGramType:
+        for method in METHODS:
+            found[f"ngrams_{kind.name.lower()}_{method}"] = partial(_ngrams, table="documents", kind=kind, method=method)
+    for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
+        found[f"ngrams_prefix_{kind.name.lower()}"] = partial(_one_filter, keep=closure.prefix_filter, kind=kind)
+        found[f"ngrams_suffix_{kind.name.lower()}"] = partial(_one_filter, keep=closure.suffix_filter, kind=kind)
+    found["ngrams_unlimited_small"] = partial(_ngrams, table="benchmark", kind=NGramType.ALL, method="suffix", support=10, length=0)
+    found["ngrams_sigma10"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", length=10)
+    found["conversation_ngrams"] = partial(_ngrams, table="conversations", kind=NGramType.ALL, method="suffix")
+    found["benchmark_ngrams"] = partial(_ngrams, table="benchmark", kind=NGramType.CLOSED, method="naive", support=2)
+    found["pages_ngrams"] = partial(_ngrams, table="pages", kind=NGramType.MAXIMAL, method="apriori_scan", support=10)
+    return found
+
+
+_EMPTY = "lambda w: w <> ''"
+
+
+def _base(table: str = "documents", ids: str = "doc_id", text: str = "text") -> str:
+    """CTEs ``lines`` and ``toks`` (words of each line)."""
+    return f"""
+        texts AS (SELECT {ids} AS doc_id, regexp_replace({text}, '(\\r\\n|\\r|\\n)$', '') AS t FROM {table} WHERE {text} <> ''),
+        split AS (SELECT doc_id, regexp_split_to_array(t, '\\r\\n|\\r|\\n') AS l FROM texts),
+        lines AS (SELECT doc_id, unnest(l) AS line, CAST(unnest(range(len(l))) AS INT) AS line_no FROM split),
+        toks AS (
+            SELECT doc_id, line_no,
+                   list_filter(string_split(regexp_replace(lower(line), '[^a-z0-9'']', ' ', 'g'), ' '), {_EMPTY}) AS w
+            FROM lines
+        )"""
+
+
+_WORDS = "words AS (SELECT doc_id, line_no, unnest(w) AS word, CAST(unnest(range(len(w))) AS INT) AS pos FROM toks)"
+_DICT = """dict AS (
+            SELECT word, CAST(row_number() OVER (ORDER BY count(*) DESC, word) AS INT) AS tid, count(*) AS count FROM words GROUP BY word
+        )"""
+
+
+def _grams(length: int, support: int) -> str:
+    """CTE ``grams``: words of each n-gram with enough support."""
+    return f"""
+        spans AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM toks),
+        cut AS (SELECT w, i, unnest(range(0, least({length}, len(w) - i + 1))) AS m FROM spans),
+        grams AS (SELECT w[i:i + m] AS g, count(*) AS support FROM cut GROUP BY 1 HAVING count(*) >= {support})"""
+
+
+_OUT = "array_to_string(g, ' ') AS ngram, CAST(len(g) AS INT) AS n, support"
+_LONGER = {
+    "prefix": "SELECT g[1:len(g) - 1] AS g, support FROM grams WHERE len(g) > 1",
+    "suffix": "SELECT g[2:len(g)] AS g, support FROM grams WHERE len(g) > 1",
+}
+_LONGER["both"] = f"{_LONGER['prefix']} UNION ALL {_LONGER['suffix']}"
+
+
+def _ngram_sql(kind: NGramType, side: str = "both", base: str | None = None, length: int = LENGTH, support: int = SUPPORT) -> str:
+    with_ = f"WITH {base or _base()}, {_grams(length, support)}"
+    if kind is NGramType.ALL:
+        return f"{with_} SELECT {_OUT} FROM grams"
+    equal = "AND l.support = k.support" if kind is NGramType.CLOSED else ""
+    return f"{with_}, longer AS ({_LONGER[side]}) SELECT {_OUT} FROM grams k WHERE NOT EXISTS (SELECT 1 FROM longer l WHERE l.g = k.g {equal})"
+
+
+def oracle_sql() -> dict[str, str]:
+    base, freq = _base(), f"freq AS (SELECT * FROM dict WHERE count >= {SUPPORT})"
+    kept = "kept AS (SELECT w.* FROM words w JOIN freq USING (word))"
+    islands = "islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS run FROM kept)"
+    pairs = f"""pairs AS (
+            SELECT a.doc_id, a.line_no, a.pos, a.word || ' ' || b.word AS ngram
+            FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.pos = a.pos + 1
+        ), often AS (SELECT ngram, count(*) AS support FROM pairs GROUP BY ngram HAVING count(*) >= {SUPPORT})"""
+    out = {
+        "tokenize_lines": f"WITH {base} SELECT doc_id, line_no, CAST(len(w) AS INT) AS n_tokens FROM toks",
+        "tokenize_lines_reference": f"""WITH {base},
+            s AS (SELECT doc_id, line_no, regexp_replace(lower(line), '[^a-z0-9'']', ' ', 'g') AS s FROM lines)
+            SELECT doc_id, line_no, CAST(CASE WHEN s = '' THEN 1 WHEN trim(s) = '' THEN 0
+                   ELSE len(list_filter(string_split(s, ' '), {_EMPTY})) + CAST(s LIKE ' %' AS INT) END AS INT) AS n_tokens FROM s""",
+        "word_counts": f"WITH {base}, {_WORDS} SELECT word, count(*) AS count FROM words GROUP BY word",
+        "dictionary_ids": f"WITH {base}, {_WORDS}, {_DICT} SELECT word, tid, count FROM dict",
+        "encoded_tokens": f"WITH {base}, {_WORDS}, {_DICT} SELECT doc_id, line_no, pos, tid FROM words JOIN dict USING (word)",
+        "encoded_lines": f"""WITH {base}, {_WORDS}, {_DICT}
+            SELECT doc_id, line_no, '[' || string_agg(CAST(tid AS VARCHAR), ', ' ORDER BY pos) || ']' AS tids
+            FROM words JOIN dict USING (word) GROUP BY doc_id, line_no""",
+        "frequent_terms": f"WITH {base}, {_WORDS}, {_DICT}, {freq} SELECT word, tid, count FROM freq",
+        "frequent_runs": f"""WITH {base}, {_WORDS}, {_DICT}, {freq}, {kept}, {islands}
+            SELECT doc_id, line_no, min(pos) AS start, CAST(count(*) AS INT) AS len FROM islands GROUP BY doc_id, line_no, run""",
+        "suffixes_sigma5": f"""WITH {base}, {_WORDS}, {_DICT}, {freq}, {kept}, {islands},
+            ahead AS (
+                SELECT string_agg(word, ' ') OVER (PARTITION BY doc_id, line_no, run ORDER BY pos ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING)
+                       AS suffix FROM islands
+            ) SELECT suffix, count(*) AS count FROM ahead GROUP BY suffix""",
+        "postings_k2": f"""WITH {base}, {_WORDS}, {pairs}
+            SELECT ngram, doc_id, line_no, '[' || string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) || ']' AS offsets
+            FROM pairs JOIN often USING (ngram) GROUP BY ngram, doc_id, line_no""",
+        "index_support": f"WITH {base}, {_WORDS}, {pairs} SELECT ngram, CAST(2 AS INT) AS n, support FROM often",
+        "scalar_sequences": f"""WITH {base}, v AS (SELECT doc_id, line_no, w[1:6] AS a, w[1:3] AS p, w[2:7] AS b FROM toks)
+            SELECT doc_id, line_no,
+                   CAST(coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS INT)
+                       AS lcp_shifted,
+                   CAST(len(p) AS INT) AS lcp_prefix,
+                   true AS p_is_prefix, len(b) <= len(a) AND a[1:len(b)] = b AS b_is_prefix, true AS tail_is_suffix,
+                   a[len(a) - len(p) + 1:len(a)] = p AS p_is_suffix, array_to_string(list_reverse(a), ' ') AS reversed FROM v""",
+    }
+    for kind in NGramType:
+        for method in METHODS:
+            out[f"ngrams_{kind.name.lower()}_{method}"] = _ngram_sql(kind)
+    for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
+        for side in ("prefix", "suffix"):
+            out[f"ngrams_{side}_{kind.name.lower()}"] = _ngram_sql(kind, side)
+    # Without a limit on the length: no line of this table is longer than 10,000 words.
+    out["ngrams_unlimited_small"] = _ngram_sql(NGramType.ALL, base=_base("benchmark", "item_id"), length=10_000, support=10)
+    out["ngrams_sigma10"] = _ngram_sql(NGramType.ALL, length=10)
+    out["conversation_ngrams"] = _ngram_sql(NGramType.ALL, base=_base("conversations", "{'conv_id': conv_id, 'turn': turn}"))
+    out["benchmark_ngrams"] = _ngram_sql(NGramType.CLOSED, base=_base("benchmark", "item_id"), support=2)
+    out["pages_ngrams"] = _ngram_sql(NGramType.MAXIMAL, base=_base("pages", "page_id", "html"), support=10)
+    return out
