@@ -18,6 +18,7 @@ the driver gathers and broadcasts has its size, not the corpus's.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .tokens import serialised_tokenizer, tokenizer_of
 
-PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
+PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids_crc32 long"
 K1, B = 1.2, 0.75
 WHOLE = 1 << 62  # set in the sequence ids of windows that one document fills
 
@@ -65,6 +66,13 @@ class ShardIndex:
         return np.bincount(self.docs[rows], self.weights[rows], self.count)
 
 
+def best_first(scores: np.ndarray, found: np.ndarray, most: int = 64) -> np.ndarray:
+    """The ``most`` best of ``found``, best first, ties to the earlier. A window's room is filled long before."""
+    if len(found) > most:
+        found = found[scores[found] >= np.partition(scores[found], -most)[-most]]
+    return found[np.argsort(-scores[found], kind="stable")]
+
+
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, first id, length) that hold every id of ``docs`` once.
 
@@ -90,22 +98,18 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
         place(seed, min(left[seed], room))
         if room:
             terms = np.unique(docs[seed]).astype(np.int64)
-            scores = index.scores(terms[idf[terms] > 0])
-            unused = np.flatnonzero(left)
-            order = unused[np.argsort(-scores[unused], kind="stable")]
-            near = order[scores[order] > 0]
-            while room and len(order):
-                fits = near[left[near] <= room]
-                if len(fits):
-                    place(fits[0], left[fits[0]])
-                    near = near[left[near] > 0]
-                    continue
-                d = near[0] if len(near) else order[left[order] > 0][:1]
-                if not np.size(d):
-                    break
-                d = int(np.ravel(d)[0])
+            scores = index.scores(terms[idf[terms] > 0]) * (left > 0)
+            near = best_first(scores, np.flatnonzero(scores))
+            while room:
+                if not len(near):
+                    # No unused neighbour is left: any unused document, the earliest first.
+                    near = np.flatnonzero(left)[:1]
+                    if not len(near):
+                        break
+                fits = np.flatnonzero(left[near] <= room)
+                d = near[fits[0]] if len(fits) else near[0]
                 place(d, min(left[d], room))
-                near = near[left[near] > 0]
+                near = near[near != d]
         out.append(parts)
     return out
 
@@ -118,6 +122,7 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int) -> Data
         encode = tokenizer_of(tokenizer)
         wide = encode.tokenizer.get_vocab_size() > 1 << 16
         df = np.zeros(encode.tokenizer.get_vocab_size(), np.int64)
+        seen = np.zeros(len(df), bool)
         docs = tokens = 0
         id_field = None
         for batch in batches:
@@ -128,7 +133,9 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int) -> Data
                 for x in ids:
                     rest = x[len(x) - len(x) % window :]
                     if len(rest):
-                        df[np.unique(rest)] += 1
+                        seen[rest] = True
+                        df += seen
+                        seen[rest] = False
                         docs += 1
                         tokens += len(rest)
                 yield pa.RecordBatch.from_arrays(
@@ -181,12 +188,14 @@ def pack(
     shard_tokens: int = 2_000_000,
     stop_share: float = 0.1,
     rows: int = 128,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, padded_length, ids``.
+    """One row per piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, padded_length, ids_crc32, ids``.
 
     A document's ids are the tokenizer's, then id 1; each lies in exactly one piece.
-    ``ids`` are little-endian unsigned 32-bit. ``padded_length`` is the window, or the
-    sequence's length where that is a power of two. Terms in more than ``stop_share``
+    ``ids`` (only ``with_ids``) are little-endian unsigned 32-bit, ``ids_crc32`` their
+    checksum. ``padded_length`` is the window, or the sequence's length where that is a
+    power of two. Terms in more than ``stop_share``
     of all documents are not indexed. A shard's memory is in proportion to
     ``shard_tokens``: a larger partition is packed in several shards.
 
@@ -213,15 +222,16 @@ def pack(
     unpack = "<u4" if width == 4 else "<u2"
     fixed = spark.sparkContext.broadcast((idf, route_of))
     body = encoded.where("kind = 0").select("doc_id", "ids", "n")
-    schema = PIECES.format(id=id_type)
+    schema = PIECES.format(id=id_type) + (", ids binary" if with_ids else "")
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def piece_batch(id_field: pa.Field, rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        kinds = [id_field.type, *[pa.int64()] * 6, pa.binary()]
+        columns.insert(7, [zlib.crc32(x) for x in columns[7]])
+        kinds = [id_field.type, *[pa.int64()] * 7, *([pa.binary()] if with_ids else [])]
+        columns = columns[: len(kinds)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)]))
 
-    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids"]
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = WHOLE | TaskContext.get().partitionId() << 32
         for batch in batches:

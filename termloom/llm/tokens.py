@@ -1,25 +1,78 @@
-"""Token ids by a public tokenizer, with a cache of white-space separated chunks.
+"""Token ids by a public tokenizer, with a cache of white-space separated words.
 
-For tokenizers whose pre-tokenizer never crosses white space, a text's ids are the
-ids of its chunks in order, so each distinct chunk is encoded once per worker.
+For tokenizers whose pre-tokenizer never crosses white space, a text's ids are the ids
+of its words in order. Words are found and hashed in numpy, over whole batches of
+texts, and looked up in a table of fixed size; only words that are not there are
+encoded, once for all their places in the batch.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 
-#: Separators of str.split() that are no white space to the tokenizer.
-ODD_SEPARATORS = re.compile("[\x1c-\x1f]")
 MARK = "0"
+SIGNS = ".,;:!?#$%&*|\"()[]{}<>/+=~^_@-"
+#: Byte-level models name each byte by a printable character: those that are printable by themselves, the others in order from U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+SEGMENT = 1 << 20  # bytes that are hashed at once
+
+
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^k and base^-k modulo 2^64 for every place of a segment."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(SEGMENT, b, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _lowered(text: str) -> str:
+    """Lower case where that commutes with the tokenizer's own normalisation: Latin-1 has no combining marks."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+class WordTable:
+    """Hash table of words in numpy: 64 bits choose one of two places, 64 more must agree. Newer words displace older ones."""
+
+    def __init__(self, slots: int):
+        self.mask = np.uint64(slots - 1)
+        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.entry = np.full(slots, -1, np.int32)
+
+    def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = key * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        return (x & self.mask).astype(np.int64), ((x >> np.uint64(32)) & self.mask).astype(np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each word, or -1."""
+        first, second = self._places(key)
+        out = np.where((self.key[first] == key) & (self.check[first] == check), self.entry[first], np.int32(-1))
+        rest = np.flatnonzero(out < 0)
+        at = second[rest]
+        out[rest] = np.where((self.key[at] == key[rest]) & (self.check[at] == check[rest]), self.entry[at], np.int32(-1))
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, entry: np.ndarray) -> None:
+        first, second = self._places(key)
+        at = np.where((self.entry[first] >= 0) & (self.entry[second] < 0), second, first)
+        self.key[at], self.check[at], self.entry[at] = key, check, entry
+        # Of words of one call with one place, the last one's parts were all written: assignment is in order.
 
 
-class ChunkTokenizer:
-    """Encodes texts with a serialised tokenizer; ``capacity`` bounds the cached chunks."""
+class WordTokenizer:
+    """Encodes texts with a serialised tokenizer; ``capacity`` bounds the words that are held."""
 
-    def __init__(self, serialised: str, capacity: int = 400_000):
+    def __init__(self, serialised: str, capacity: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(serialised)
@@ -27,79 +80,166 @@ class ChunkTokenizer:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.capacity = capacity
+        self.slots = 1 << (2 * capacity - 1).bit_length()
+        self.words: dict[str, list[int]] = {}
+        self.signs: dict[str, list[int]] = {}
         found = self._ids(MARK)
         self.mark = found[0] if len(found) == 1 else -1
+        self.hashes = [_powers(b) for b in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F)]
         self._reset()
+        probe = ["the", "wörter.", "é", "ñandú,.", "ça#$", "...", "ß"]
+        if [list(x) for x in self.encode_batch([p.upper() if p != "ß" else p for p in probe])] != [self._ids(p) for p in probe]:
+            raise ValueError("the tokenizer must be byte-level, lower-case, and part letters from signs")
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 15, np.int64)  # ends[i + 1]: where chunk i ends in flat
-
-    def _store(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """Append chunks whose ids lie in ``ids``, one after another, up to ``ends``."""
-        i, base = len(self.index), int(self.ends[len(self.index)])
-        while base + len(ids) > len(self.flat):
+        self.table = WordTable(self.slots)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.ends = np.zeros(1 << 18, np.int64)  # ends[i + 1]: where entry i ends in flat
+        self.count = 0
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _store(self, lists: Iterable[list[int]], sizes: np.ndarray) -> None:
+        total, base = int(sizes.sum()), int(self.ends[self.count])
+        while base + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while i + len(chunks) + 1 > len(self.ends):
+        while self.count + len(sizes) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[base : base + len(ids)] = ids
-        self.ends[i + 1 : i + 1 + len(chunks)] = base + ends
-        self.index.update(zip(chunks, range(i, i + len(chunks)), strict=True))
-
-    def _learn(self, chunks: list[str]) -> None:
-        # Chunks without the mark are encoded in one text, parted by the mark's id.
-        plain = [c for c in chunks if MARK not in c]
+        self.flat[base : base + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.ends[self.count + 1 : self.count + 1 + len(sizes)] = base + np.cumsum(sizes)
+        self.count += len(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        """Append entries. A lower-case Latin-1 word, with or without signs after it, needs the model alone; others the whole tokenizer."""
+        tokenize, memo, signs = self.tokenizer.model.tokenize, self.words, self.signs
+        if len(memo) > 100_000:
+            memo.clear()
+        if len(signs) > 10_000:
+            signs.clear()
+        lists: list[list[int] | None] = []
+        rest: list[int] = []
+        for i, c in enumerate(words):
+            word = c.rstrip(SIGNS)
+            ids = memo.get(word)
+            if ids is None:
+                if word and not (word.isalpha() and word.islower() and (word.isascii() or max(word) < "Ā")):
+                    lists.append(None)
+                    rest.append(i)
+                    continue
+                name = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
+                ids = memo[word] = [t.id for t in tokenize(name)] if word else []
+            if len(word) < len(c):
+                tail = c[len(word) :]
+                more = signs.get(tail)
+                if more is None:
+                    more = signs[tail] = self._ids(tail)
+                ids = ids + more
+            lists.append(ids)
+        # Words without the mark are encoded in one text, parted by the mark's id.
+        plain = [i for i in rest if MARK not in words[i]]
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
-            ids = np.array(self._ids(f" {MARK} ".join([*part, ""])), np.uint32)
+            ids = np.array(self._ids(f" {MARK} ".join([*(words[i] for i in part), ""])), np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             if len(marks) == len(part):
-                self._store(part, np.delete(ids, marks), marks - np.arange(len(marks)))
-            else:
-                self._one_by_one(part)
-        self._one_by_one([c for c in chunks if MARK in c])
-
-    def _one_by_one(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4_096):
-            part = chunks[at : at + 4_096]
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._store(part, np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each]))
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                for i, own in zip(part, np.split(ids, marks + 1), strict=False):
+                    lists[i] = own[:-1].tolist()
+        for i in rest:
+            if lists[i] is None:
+                lists[i] = self._ids(words[i])
+        self._store(lists, np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a segment begin, and their entries."""
+        b = np.frombuffer(data, np.uint8)
+        inside = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(start):
+            return start, np.zeros(0, np.int64)
+        both = []
+        for power, inverse in self.hashes:
+            v = (b.astype(np.uint64) + np.uint64(1)) * power[: len(b)]
+            total = np.cumsum(v)
+            both.append((total[stop - 1] - total[start] + v[start]) * inverse[start])
+        key, check = both
+        check ^= (stop - start).astype(np.uint64)
+        entry = self.table.find(key, check).astype(np.int64)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            _, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
+            new = missing[first]
+            base = self.count
+            self._learn([data[i:j].decode("utf-8", "replace") for i, j in zip(start[new].tolist(), stop[new].tolist(), strict=True)])
+            made = np.arange(base, self.count, dtype=np.int64)
+            self.table.add(key[new], check[new], made.astype(np.int32))
+            entry[missing] = made[which]
+        return start, entry
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; null counts as empty."""
-        if len(self.index) > self.capacity:
+        if self.count > self.capacity:
             self._reset()
-        pieces = [(t or "").split() for t in texts]
-        index = self.index
-        unknown = {c for p in pieces for c in p if c not in index}
-        if unknown:
-            self._learn(sorted(unknown))
-        at = np.fromiter((index[c] for p in pieces for c in p), np.int64, sum(map(len, pieces)))
-        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.flat[np.arange(total) + np.repeat(begin - (stop - size), size)]
-        bounds = np.concatenate([[0], stop])[np.cumsum([0, *map(len, pieces)])]
-        out = [ids[bounds[i] : bounds[i + 1]] for i in range(len(pieces))]
-        for i, t in enumerate(texts):
-            if t and ODD_SEPARATORS.search(t):
-                out[i] = np.array(self._ids(t), np.uint32)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        held: list[bytes] = []
+        owners: list[int] = []
+        size = 0
+
+        def run() -> None:
+            nonlocal size
+            start, entry = self._segment(b"\n".join(held))
+            begin, count = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
+            stop = np.concatenate([[0], np.cumsum(count)])
+            ids = self.flat[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], count)]
+            bounds = stop[np.searchsorted(start, np.cumsum([0, *(len(h) + 1 for h in held)]))]
+            for k, i in enumerate(owners):
+                own = ids[bounds[k] : bounds[k + 1]]
+                out[i] = own if not len(out[i]) else np.concatenate([out[i], own])
+            held.clear()
+            owners.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            for part in _parts(_lowered(text).encode("utf-8", "replace")):
+                if part is None:  # a word longer than a segment
+                    if held:
+                        run()
+                    out[i] = np.array(self._ids(text), np.uint32)
+                    break
+                if size + len(part) + 1 > SEGMENT:
+                    run()
+                held.append(part)
+                owners.append(i)
+                size += len(part) + 1
+        if held:
+            run()
         return out
 
 
-_tokenizers: dict[int, ChunkTokenizer] = {}
+def _parts(data: bytes) -> list[bytes | None]:
+    """The text in parts that fit a segment, cut at white space; [None] where that can't be."""
+    out: list[bytes | None] = []
+    while len(data) >= SEGMENT:
+        at = max(data.rfind(s, 0, SEGMENT - 1) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if at <= 0:
+            return [None]
+        out.append(data[:at])
+        data = data[at:]
+    return [*out, data]
+
+
+_tokenizers: dict[int, WordTokenizer] = {}
 
 
-def tokenizer_of(serialised: str) -> ChunkTokenizer:
-    """This worker's tokenizer and cache, kept between tasks."""
+def tokenizer_of(serialised: str) -> WordTokenizer:
+    """This worker's tokenizer and table, kept between tasks."""
     key = hash(serialised)
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = ChunkTokenizer(serialised)
+        _tokenizers[key] = WordTokenizer(serialised)
     return _tokenizers[key]
 
 
