@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .language_model import score_texts
 from .line_dedup import line_dedup
+from .mixing import label_domains, mix
 from .near_dedup import near_duplicates
 from .neighbours import nearest
 from .packing import pack
@@ -22,8 +24,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(_table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(_table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+#: Wanted shares of tokens by domain.
+TARGETS = {"clean": 0.96, "toxic": 0.02, "low": 0.02}
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = label_domains(_table(spark, sf_dir, "labels"))
+    found = mix(_table(spark, sf_dir, "documents"), known, TARGETS)
+    shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(sorted(TARGETS))]
+    return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +74,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_quality, op5_neighbours, op6_language_model, op7_exact_dedup, op8_line_dedup, op9_near_dedup, op10_html_text)}
+    return {f.__name__: f for f in (op1_packing, op2_chat_format, op3_mixing, op4_quality, op5_neighbours, op6_language_model, op7_exact_dedup, op8_line_dedup, op9_near_dedup, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
