@@ -169,11 +169,14 @@ def rate_after(steps: list[list[float]], p: Column) -> Column:
     return F.aggregate(path, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def fit_rates(table: DataFrame, targets: list[float], budget: float | None = None, tolerance: float = 1e-3, most_steps: int = 40) -> list[list[float]]:
+def fit_rates(
+    table: DataFrame, targets: list[float], budget: float | None = None, repeats: float = 1.0, tolerance: float = 1e-3, most_steps: int = 40
+) -> list[list[float]]:
     """Steps of the fit over ``table (n_tokens, p)``.
 
-    ``targets`` are weights of the domains; ``budget`` the tokens to reach, by default as
-    many as the scarcest domain allows without use beyond its own tokens.
+    ``targets`` are weights of the domains, ``budget`` the tokens to reach: by default, the
+    domain of the largest weight keeps all its tokens. A domain that has too few for its
+    target gets ``repeats`` times its tokens instead.
     """
     weights = np.array(targets, float) / sum(targets)
     domains = range(len(weights))
@@ -189,8 +192,8 @@ def fit_rates(table: DataFrame, targets: list[float], budget: float | None = Non
     if not supply.sum():
         return []
     if budget is None:
-        budget = min(supply[d] / weights[d] for d in domains if weights[d] > 0 and supply[d] > 0)
-    goal = weights * budget
+        budget = supply[weights.argmax()] / weights.max()
+    goal = np.minimum(weights * budget, repeats * supply)
     steps: list[list[float]] = []
     now = supply
     while len(steps) < most_steps:
@@ -209,11 +212,14 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     budget: float | None = None,
+    repeats: float = 1.0,
     per_domain: int = 1_000,
     carry: bool = False,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, p, rate, copies``; with ``carry`` the input's columns as ``row``.
 
+    ``targets`` are the domains' weights, ``budget`` and ``repeats`` as for :func:`fit_rates`.
+
     Null and empty texts have no tokens: they match no target, and their rate follows
     their posterior. Rows that repeat an identifier are documents of their own, with equal
     copies if their texts are equal. A null identifier is a valid one. Labels that are null
@@ -224,7 +230,7 @@ def mix(
     names = sorted(targets)
     scratch = Scratch(docs.sparkSession, "mixing")
     table = scratch.write(posteriors(docs, known, names, id_col, text_col, per_domain, carry), "posteriors")
-    steps = fit_rates(table.select("n_tokens", "p"), [targets[n] for n in names], budget)
+    steps = fit_rates(table.select("n_tokens", "p"), [targets[n] for n in names], budget, repeats)
     rated = table.withColumn("rate", rate_after(steps, F.col("p")))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     floor = F.floor("rate")
