@@ -3,9 +3,12 @@
 1. Each document becomes its set of word shingles (64-bit hashes), MinHash samples, and
    an odd sketch: a bitmap in which every (position, sample) flips one bit. The XOR of
    two sketches counts the samples that differ, which estimates high similarities
-   closely. Equal sets are one class, represented by the smallest identifier.
+   closely. A second, finer bitmap has the parity of the shingles themselves: its XOR
+   estimates how many shingles differ. Equal sets are one class, represented by the
+   smallest identifier.
 2. Representatives that share a band of samples meet in a bucket. There, sketches are
-   compared by population count, and a spanning forest of the likely links is proposed.
+   compared by population count, the finer ones of those that pass, and a spanning
+   forest of the likely links is proposed.
 3. Proposed links are confirmed on the full sets; confirmed ones give components.
 4. Likely links between different components, which the forest left out, are proposed
    next, more of them in each round, until none is unconfirmed. So a link can be
@@ -32,6 +35,7 @@ from .scratch import Scratch
 SHINGLE = 5
 SAMPLES, BITS = 256, 1024
 BANDS, ROWS = 32, 4
+FINE_BITS = 2048
 
 _draw = np.random.default_rng(19)
 _MULTIPLY = (_draw.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -86,6 +90,23 @@ def odd_sketch(sampled: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def fine_sketch(found: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    bit = ((found >> np.uint64(7)) % np.uint64(FINE_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=FINE_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def most_fine_bits(both: np.ndarray, similarity: float, errors: float = 4.5) -> np.ndarray:
+    """XOR population count, at most, of fine sketches of linked sets whose sizes add up to ``both``.
+
+    The mean for as many different shingles as a link allows, and some standard errors.
+    """
+    differ = both * (1 - similarity) / (1 + similarity)
+    one, two = (1 - 2 / FINE_BITS) ** differ, (1 - 4 / FINE_BITS) ** differ
+    variance = FINE_BITS / 4 * (1 - two) + FINE_BITS**2 / 4 * (two - one * one)
+    return FINE_BITS / 2 * (1 - one) + errors * np.sqrt(np.maximum(variance, 0)) + 1
+
+
 def band_keys(sampled: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
     rows = sampled[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
@@ -114,7 +135,7 @@ def _sketches(source: DataFrame, id_type: str) -> DataFrame:
                         s = samples(found)
                         digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                         bands.append(band_keys(s))
-                        sketch.append(odd_sketch(s))
+                        sketch.append(odd_sketch(s) + fine_sketch(found) + band_keys(s).astype(np.uint32).tobytes())
                     else:
                         digest.append(None)
                         bands.append(None)
@@ -127,18 +148,37 @@ def _sketches(source: DataFrame, id_type: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def likely_links(sketch: np.ndarray, label: np.ndarray, guest: np.ndarray, order: np.ndarray, most_bits: int, most: int | None) -> list[tuple[int, int]]:
-    """Likely links of one chunk, as positions (larger identifier, smaller identifier).
+def likely_links(
+    sketch: np.ndarray,
+    size: np.ndarray,
+    label: np.ndarray,
+    guest: np.ndarray,
+    order: np.ndarray,
+    band: int,
+    similarity: float,
+    most_bits: int,
+    most: int | None,
+) -> list[tuple[int, int]]:
+    """Likely links of one chunk, as pairs of positions.
 
     ``most`` None: a spanning forest, breadth first from the smallest identifiers, so that
     different buckets propose the same links. Otherwise the ``most`` closest pairs for each
-    pair of labels. Two guests are compared in their own chunks only.
+    pair of labels that share no earlier band: each pair is proposed by one bucket. Two
+    guests are compared in their own chunks only.
     """
-    count = len(sketch)
+    count, words, more = len(sketch), BITS // 64, (BITS + FINE_BITS) // 64
+    coarse, fine = np.ascontiguousarray(sketch[:, :words]), np.ascontiguousarray(sketch[:, words:more])
+    keys = np.ascontiguousarray(sketch[:, more:]).view(np.uint32)[:, :band]
     out: list[tuple[int, int]] = []
 
-    def close(i: int) -> np.ndarray:
-        return np.bitwise_count(sketch ^ sketch[i]).sum(1, dtype=np.int32)
+    def close(i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``among`` are likely links of ``i``, and the bits that differ."""
+        large = np.maximum(size[among], size[i])
+        among = among[np.minimum(size[among], size[i]) >= similarity * large]
+        among = among[np.bitwise_count(coarse[among] ^ coarse[i]).sum(1, dtype=np.int32) <= most_bits]
+        bits = np.bitwise_count(fine[among] ^ fine[i]).sum(1, dtype=np.int32)
+        near = bits <= most_fine_bits(size[among] + size[i], similarity)
+        return among[near], bits[near]
 
     if most is None:
         waiting = np.ones(count, bool)
@@ -149,7 +189,7 @@ def likely_links(sketch: np.ndarray, label: np.ndarray, guest: np.ndarray, order
             queue = [root]
             while queue and waiting.any():
                 i = queue.pop(0)
-                near = np.flatnonzero(waiting & (close(i) <= most_bits))
+                near = close(i, np.flatnonzero(waiting))[0]
                 waiting[near] = False
                 for j in order[np.isin(order, near)] if len(near) > 1 else near:
                     out.append((int(j), int(i)))
@@ -157,26 +197,28 @@ def likely_links(sketch: np.ndarray, label: np.ndarray, guest: np.ndarray, order
         return out
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for i in np.flatnonzero(~guest):
-        bits = close(i)
-        for j in np.flatnonzero((bits <= most_bits) & (label != label[i]) & (guest | (np.arange(count) > i))):
+        near, bits = close(i, np.flatnonzero((label != label[i]) & (guest | (np.arange(count) > i))))
+        first = ~(keys[near] == keys[i]).any(1)
+        for j, differ in zip(near[first].tolist(), bits[first].tolist(), strict=True):
             key = (min(label[i], label[j]), max(label[i], label[j]))
-            found.setdefault(key, []).append((int(bits[j]), int(i), int(j)))
+            found.setdefault(key, []).append((differ, int(i), j))
     for pairs in found.values():
         out += [(i, j) for _, i, j in sorted(pairs)[:most]]
     return out
 
 
-def _propose(members: DataFrame, most_bits: int, most: int | None) -> DataFrame:
-    """Distinct proposed links (a > b) of all chunks; members: bucket, chunk, uid, sketch, label, guest."""
+def _propose(members: DataFrame, similarity: float, most_bits: int, most: int | None) -> DataFrame:
+    """Distinct proposed links (a > b) of all chunks; members: bucket, chunk, band, uid, n, sketch, label, guest."""
 
     def run(rows: pa.Table) -> pa.Table:
         if rows.num_rows < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         uid = rows.column("uid").to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(uid), -1)
-        found = likely_links(
-            sketch, rows.column("label").to_numpy(), rows.column("guest").to_numpy(zero_copy_only=False), np.argsort(uid, kind="stable"), most_bits, most
-        )
+        size, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
+        guest = rows.column("guest").to_numpy(zero_copy_only=False)
+        band = rows.column("band")[0].as_py()
+        found = likely_links(sketch, size, label, guest, np.argsort(uid, kind="stable"), band, similarity, most_bits, most)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         a, b = uid[pairs[:, 0]], uid[pairs[:, 1]]
         return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
@@ -215,8 +257,8 @@ def near_duplicates(
 
     Two documents are linked if the Jaccard similarity of their shingle sets is
     ``similarity`` or more, confirmed on the full sets. Two sets at the threshold share
-    no band with probability 5e-6, and their sketches differ by over ``margin`` (four
-    standard errors) with a similar one.
+    no band with probability 5e-6; their sketches differ by more than ``margin`` (over four
+    standard errors), or their fine ones by more than 4.5, with a similar one.
 
     Null texts count as empty. Texts without words have no shingles and are linked with
     nothing. Documents of fewer than five words are one shingle. Rows that repeat an
@@ -230,20 +272,22 @@ def near_duplicates(
     sketched = scratch.write(_sketches(source, "bigint"), "sketched")
     usable = sketched.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.write(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("uid"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
+        usable.groupBy("digest").agg(F.min("doc_id").alias("uid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes"
     )
-    banded = classes.select("uid", F.explode("bands").alias("bucket"))
+    banded = classes.select("uid", F.posexplode("bands").alias("band", "bucket"))
     shared = banded.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("size > 1")
     members = scratch.write(
-        shared.select("bucket", "uid", "size", F.pmod(F.xxhash64("bucket", "uid"), F.ceil(F.col("size") / chunk)).cast("int").alias("chunk"))
-        .join(classes.select("uid", "sketch"), "uid"),
+        shared.select("bucket", "band", "uid", "size", F.pmod(F.xxhash64("bucket", "uid"), F.ceil(F.col("size") / chunk)).cast("int").alias("chunk"))
+        .join(classes.select("uid", "n", "sketch"), "uid"),
         "members",
     )
     most_bits = most_different_bits(similarity - margin)
     alone = members.select("*", F.col("uid").alias("label"), F.lit(False).alias("guest"))
-    proposed = scratch.write(_propose(alone, most_bits, None), "proposed-0")
+    proposed = scratch.write(_propose(alone, similarity, most_bits, None), "proposed-0")
 
-    nodes = scratch.write(proposed.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "nodes")
+    # Those with a likely link; in a large bucket, one may be in another chunk.
+    nodes = proposed.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(members.where(F.col("size") > chunk).select("uid"))
+    nodes = scratch.write(nodes.distinct(), "nodes")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -263,7 +307,7 @@ def near_duplicates(
         links = confirmed.where("linked").select("a", "b")
         labels = scratch.write(connected_components(links, scratch, f"links-{turn}"), f"labels-{turn}")
         named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        fresh = _propose(_visits(named, chunk), most_bits, most).join(confirmed.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = _propose(_visits(named, chunk), similarity, most_bits, most).join(confirmed.select("a", "b"), ["a", "b"], "left_anti")
         turn += 1
         fresh = scratch.write(fresh, f"proposed-{turn}")
         if not fresh.limit(1).count():
@@ -283,16 +327,16 @@ def _visits(named: DataFrame, chunk: int) -> DataFrame:
     """Members of buckets that hold several components, with guests in every chunk of large buckets."""
     by_bucket = Window.partitionBy("bucket")
     mixed = named.withColumn("low", F.min("label").over(by_bucket)).withColumn("high", F.max("label").over(by_bucket)).where("low <> high")
-    small = mixed.where(F.col("size") <= chunk).select("bucket", "chunk", "uid", "sketch", "label", F.lit(False).alias("guest"))
+    small = mixed.where(F.col("size") <= chunk).select("bucket", "chunk", "band", "uid", "n", "sketch", "label", F.lit(False).alias("guest"))
     large = mixed.where(F.col("size") > chunk)
     counts = large.groupBy("bucket", "label").count()
     main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     large = large.join(main, "bucket")
-    home = large.select("bucket", "chunk", "uid", "sketch", "label", F.lit(False).alias("guest"))
+    home = large.select("bucket", "chunk", "band", "uid", "n", "sketch", "label", F.lit(False).alias("guest"))
     places = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1))
     guests = (
-        large.where("label <> main").select("bucket", F.col("chunk").alias("home"), "uid", "sketch", "label", places.alias("chunk"))
-        .where("chunk <> home").select("bucket", "chunk", "uid", "sketch", "label", F.lit(True).alias("guest"))
+        large.where("label <> main").select("bucket", F.col("chunk").alias("home"), "band", "uid", "n", "sketch", "label", places.alias("chunk"))
+        .where("chunk <> home").select("bucket", "chunk", "band", "uid", "n", "sketch", "label", F.lit(True).alias("guest"))
     )
     return small.unionByName(home).unionByName(guests)
 
