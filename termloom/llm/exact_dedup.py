@@ -47,26 +47,24 @@ def exact_dedup(
     cannot clash.
     """
     spark = docs.sparkSession
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("struct<none:int>")
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row.alias("row"))
+    # What travels: the text, or the whole row (which has it).
+    load = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.col(text_col)
+    src = docs.select(F.col(id_col).alias("doc_id"), load.alias("load"))
+    norm = normalised(F.col("load").getField(text_col) if carry else F.col("load"))
 
     threshold = max(hot_rows, src.count() // HOT_TEXTS)
-    hashes = src.select(F.xxhash64(normalised(F.col("text"))).alias("h"))
-    hot = hashes.groupBy("h").count().where(F.col("count") > threshold).collect()
+    hot = src.groupBy(F.xxhash64(norm).alias("h")).count().where(F.col("count") > threshold).collect()
 
-    keyed = src.select("*", normalised(F.col("text")).alias("norm")).select(
-        "doc_id", "text", "row", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("h")
-    )
+    keyed = src.withColumn("norm", norm).select("doc_id", "load", F.substring("norm", 1, PREFIX).alias("prefix"), F.xxhash64("norm").alias("h"))
     if hot:
         parts = spark.createDataFrame([(r["h"], -(-r["count"] // threshold)) for r in hot], "h long, parts int")
         keyed = keyed.join(F.broadcast(parts), "h", "left").withColumn(
             "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
         )
-
     # The window is partitioned by these and the text, so it needs no exchange of its own.
     keys = ["prefix", "h", *(["part"] if hot else [])]
-    dealt = keyed.repartitionByRange(*keys).select("*", normalised(F.col("text")).alias("norm"))
-    dealt = dealt.drop("text") if carry else dealt.drop("text", "row")
+    dealt = keyed.repartitionByRange(*keys).withColumn("norm", norm)
+    dealt = dealt.withColumnRenamed("load", "row") if carry else dealt.drop("load")
     group = Window.partitionBy(*keys, "norm")
     ordered = group.orderBy(F.col("doc_id").asc_nulls_last())
     found = dealt.select(
@@ -79,7 +77,7 @@ def exact_dedup(
     if hot:
         # Whole-group totals of the hot texts, keyed by the digest of the full text.
         totals = (
-            src.select("doc_id", normalised(F.col("text")).alias("norm"))
+            src.select("doc_id", norm.alias("norm"))
             .join(F.broadcast(parts.select("h")), F.xxhash64("norm") == F.col("h"), "left_semi")
             .groupBy(F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
             .agg(F.min("doc_id").alias("all_min"), F.count(F.lit(1)).alias("all_rows"))

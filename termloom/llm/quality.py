@@ -237,8 +237,9 @@ def score_quality(
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     net = train(_sample(source, known, per_class, max_chunks, folds, held_fold))
     weights = net.w if net else None
-    if carry:
-        source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if carry:  # the text travels in the row
+        source = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
     id_type = source.schema[0].dataType.simpleString()
     extra = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
 
@@ -247,10 +248,11 @@ def score_quality(
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                texts = [t.encode("utf-8", "replace") for t in part.column(1).to_pylist()]
+                found = part.column(1).field(place) if carry else part.column(1)
+                texts = [(t or "").encode("utf-8", "replace") for t in found.to_pylist()]
                 scores = net.score(texts) if net else np.full(len(texts), 0.5)
-                others = [part.column(i) for i in range(2, part.num_columns)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *others, pa.array(scores.astype(np.float64))], ["doc_id", *(["row"] if carry else []), "score"])
+                row = [part.column(1)] if carry else []
+                yield pa.RecordBatch.from_arrays([part.column(0), *row, pa.array(scores.astype(np.float64))], ["doc_id", *(["row"] if carry else []), "score"])
 
     scored = source.mapInArrow(run, f"doc_id {id_type}{extra}, score double")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
