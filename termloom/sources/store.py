@@ -70,11 +70,18 @@ class Levels:
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         self.spark = spark
         self.path = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='termloom-')).rstrip('/')}/termloom/{name}-{uuid.uuid4().hex}"
+        path, files = self._files(self.path)
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # results are lazy: their tables must last as long as the application
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, table: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
     def drop(self, table: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._files(f"{self.path}/{table}")
+        files.delete(path, True)
