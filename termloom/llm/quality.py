@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK, HOP, STEP, DIM, FILTERS, HIDDEN = 512, 384, 4, 8, 32, 16
 WIDE = STEP * DIM
@@ -240,8 +241,8 @@ def score_quality(
     if carry:  # the text travels in the row
         source = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     place = docs.columns.index(text_col)
-    id_type = source.schema[0].dataType.simpleString()
-    extra = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    kept = [source.schema["doc_id"], *([source.schema["row"]] if carry else [])]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = ByteNet(weights) if weights else None
@@ -254,7 +255,7 @@ def score_quality(
                 row = [part.column(1)] if carry else []
                 yield pa.RecordBatch.from_arrays([part.column(0), *row, pa.array(scores.astype(np.float64))], ["doc_id", *(["row"] if carry else []), "score"])
 
-    scored = source.mapInArrow(run, f"doc_id {id_type}{extra}, score double")
+    scored = source.mapInArrow(run, schema)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     return scored.select(
         "doc_id",
