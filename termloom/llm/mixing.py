@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 
@@ -38,15 +39,14 @@ class _Buckets(dict):
 
 def read_text(text: bytes, buckets: dict[bytes, int]) -> tuple[int, np.ndarray, np.ndarray]:
     """Words, distinct word buckets, proportions."""
-    words = text.split()
+    words = text.lower().translate(None, b".,;:!?").split()
     n = len(words)
-    low = [w.lower() for w in words]
-    found = np.unique(np.fromiter((buckets[w.strip(b".,;:!?")] for w in low), np.int64, n))
+    found = np.unique(np.fromiter(map(buckets.__getitem__, words), np.int64, n))
     b = np.frombuffer(text, np.uint8)
     size = max(1, len(b))
     upper = np.count_nonzero((b >= 65) & (b <= 90))
     letters = upper + np.count_nonzero(((b >= 97) & (b <= 122)) | (b >= 128))
-    repeats = sum(map(bytes.__eq__, low, low[1:])) if n > 1 else 0
+    repeats = sum(map(bytes.__eq__, words, words[1:])) if n > 1 else 0
     dense = np.array([upper / size, letters / size, repeats / max(1, n - 1), len(found) / max(1, n), np.log1p(n) / 8, 1.0])
     return n, found, dense
 
@@ -136,10 +136,11 @@ def posteriors(docs: DataFrame, known: DataFrame, names: list[str], id_col: str
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     source = docs.select(F.col(id_col).alias("doc_id"), text)
     model = _learn(source, known, names, per_domain)
-    if carry:
-        source = docs.select(F.col(id_col).alias("doc_id"), text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = source.schema[0].dataType.simpleString()
-    extra = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
+    if carry:  # the text travels in the row
+        source = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
+    kept = [source.schema["doc_id"], *([source.schema["row"]] if carry else [])]
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     even = np.full(len(names), 1 / len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,16 +149,17 @@ def posteriors(docs: DataFrame, known: DataFrame, names: list[str], id_col: str
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 n, p = [], []
-                for t in part.column(1).cast(pa.binary()).to_pylist():
-                    count, found, dense = read_text(t, buckets)
+                texts = part.column(1).field(place) if carry else part.column(1)
+                for t in texts.cast(pa.binary()).to_pylist():
+                    count, found, dense = read_text(t or b"", buckets)
                     n.append(count)
                     p.append(model.posterior(found, dense) if model else even)
-                others = [part.column(i) for i in range(2, part.num_columns)]
+                row = [part.column(1)] if carry else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *others, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", *(["row"] if carry else []), "n_tokens", "p"]
+                    [part.column(0), *row, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], ["doc_id", *(["row"] if carry else []), "n_tokens", "p"]
                 )
 
-    return source.mapInArrow(run, f"doc_id {kind}{extra}, n_tokens long, p array<double>")
+    return source.mapInArrow(run, schema)
 
 
 def rate_after(steps: list[list[float]], p: Column) -> Column:
@@ -182,26 +184,35 @@ def fit_rates(
     domains = range(len(weights))
     n = F.col("n_tokens").cast("double")
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        rate = rate_after(steps, F.col("p"))
-        used = table.select("n_tokens", "p", rate.alias("r"))
-        got = used.agg(*[F.sum(n * F.col("p")[d] * F.col("r")).alias(f"t{d}") for d in domains]).first()
-        return np.array([x or 0.0 for x in got])
+    pairs = [(d, e) for d in domains for e in domains if e >= d]
 
-    supply = totals([])
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain, and the Gram matrix of the documents that are in use."""
+        used = table.select(n.alias("n"), "p", rate_after(steps, F.col("p")).alias("r"))
+        p, active = F.col("p"), F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+        sums = [F.sum(F.col("n") * p[d] * F.col("r")) for d in domains] + [F.sum(active * p[d] * p[e]) for d, e in pairs]
+        got = [x or 0.0 for x in used.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+        gram = np.zeros((len(weights), len(weights)))
+        for (d, e), x in zip(pairs, got[len(weights) :], strict=True):
+            gram[d, e] = gram[e, d] = x
+        return np.array(got[: len(weights)]), gram
+
+    supply, gram = totals([])
     if not supply.sum():
         return []
     if budget is None:
         budget = supply[weights.argmax()] / weights.max()
     goal = np.minimum(weights * budget, repeats * supply)
     steps: list[list[float]] = []
-    now = supply
-    while len(steps) < most_steps:
-        off = np.where(supply > 0, (now - goal) / np.maximum(supply, 1e-300), 0.0)
-        if np.abs(now - goal)[supply > 0].max() <= tolerance * budget:
-            break
-        steps.append(off.tolist())
-        now = totals(steps)
+    now, pace = supply, 1.0
+    off = np.abs(now - goal).max()
+    while len(steps) < most_steps and off > tolerance * budget:
+        # The gradient in the metric of the documents' own tokens, scaled by the domains' Gram matrix.
+        ridge = np.diag(1e-3 * np.maximum(supply, supply.max() * 1e-6))
+        steps.append((pace * np.linalg.solve(gram + ridge, now - goal)).tolist())
+        now, gram = totals(steps)
+        before, off = off, np.abs(now - goal).max()
+        pace = max(0.1, pace / 2) if off > before else min(1.0, pace * 1.5)
     return steps
 
 

@@ -7,11 +7,10 @@ from termloom.llm.mixing import fit_rates, mix, mixed_documents, rate_after
 from .conftest import LONG
 
 
-def brute_rates(n, p, goal, supply, steps):
-    r = np.ones(len(n))
-    for _ in range(steps):
-        off = ((n * r) @ p - goal) / supply
-        r = np.maximum(0, r - p @ off)
+def brute_rates(p, steps):
+    r = np.ones(len(p))
+    for g in steps:
+        r = np.maximum(0, r - p @ np.array(g))
     return r
 
 
@@ -20,14 +19,15 @@ def test_fit_meets_targets_and_equals_numpy(spark):
     n, p = rng.integers(1, 200, 300), rng.dirichlet([0.3, 0.3, 0.3], 300)
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
     supply = n @ p
-    steps = fit_rates(df, [0.5, 0.3, 0.2], tolerance=1e-4, repeats=1.0, most_steps=200)
+    steps = fit_rates(df, [0.5, 0.3, 0.2], tolerance=1e-4, repeats=1.0, most_steps=100)
+    assert len(steps) < 40
     from pyspark.sql import functions as F
 
     r = np.array([x[0] for x in df.select(rate_after(steps, F.col("p"))).collect()])
     goal = np.minimum(np.array([0.5, 0.3, 0.2]) * supply[0] / 0.5, supply)
     assert (r >= 0).all()
     assert np.abs((n * r) @ p - goal).max() <= 2e-4 * goal.sum()
-    assert np.allclose(r, brute_rates(n, p, goal, supply, len(steps)))
+    assert np.allclose(r, brute_rates(p, steps))
     assert fit_rates(df.where("n_tokens < 0"), [1.0, 1.0, 1.0]) == []
 
 
@@ -51,7 +51,8 @@ def test_posteriors_and_copies(spark, docs_of):
     assert np.mean([(r["p"][1] > 0.5) == (made[r["doc_id"]] == "good") for r in rest]) > 0.95
     used = np.array([[r["n_tokens"] * r["rate"] * x for x in r["p"]] for r in out]).sum(0)
     assert abs(used[1] / used.sum() - 0.9) < 0.01
-    mixed = mixed_documents(df, known, {"good": 0.9, "bad": 0.1})
+    mixed = mixed_documents(df.withColumnRenamed("kept", "a b.c"), known, {"good": 0.9, "bad": 0.1})
+    mixed = mixed.withColumnRenamed("a b.c", "kept")
     assert mixed.columns == df.columns and mixed.count() == sum(r["copies"] for r in out)
 
 
