@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -186,6 +186,7 @@ def format_chats(
     gives an empty result. Other columns are not read.
     """
     spark = turns.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "chat")
     source = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     conv_type, turn_type = (source.schema[i].dataType.simpleString() for i in (0, 1))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 BUCKETS = 1 << 16
 DENSE = 6
@@ -133,6 +133,7 @@ def posteriors(docs: DataFrame, known: DataFrame, names: list[str], id_col: str
 
     ``known``: ``doc_id, domain``. Without any labelled document, domains are equally likely.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     source = docs.select(F.col(id_col).alias("doc_id"), text)
     model = _learn(source, known, names, per_domain)

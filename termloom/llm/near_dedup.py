@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 SHINGLE = 5
 SAMPLES, BITS = 256, 1024
@@ -267,6 +267,7 @@ def near_duplicates(
     the input are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketched = scratch.write(_sketches(source, "bigint"), "sketched")

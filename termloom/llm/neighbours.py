@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -74,6 +74,7 @@ def nearest(
     result. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "neighbours")
     rows = valid_vectors(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()

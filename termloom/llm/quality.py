@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import small_batches
+
 CHUNK, HOP, STEP, DIM, FILTERS, HIDDEN = 512, 384, 4, 8, 32, 16
 WIDE = STEP * DIM
 PLACES = CHUNK // STEP - 1
@@ -234,6 +236,7 @@ def score_quality(
     Repeated rows are scored one by one; an empty table gives an empty result. Other
     columns are not read unless carried.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     net = train(_sample(source, known, per_class, max_chunks, folds, held_fold))

@@ -22,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows, if they are larger.
+
+    Batches are held by the JVM, off its heap, and by the Python worker at once; with
+    whole texts as rows, the default of 10,000 takes hundreds of MB in every executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """A folder of intermediate Parquet tables for one operator call."""
 

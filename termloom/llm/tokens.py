@@ -18,7 +18,7 @@ SIGNS = ".,;:!?#$%&*|\"()[]{}<>/+=~^_@-"
 #: Byte-level models name each byte by a printable character: those that are printable by themselves, the others in order from U+0100.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-SEGMENT = 1 << 20  # bytes that are hashed at once
+SEGMENT = 1 << 18  # bytes that are hashed at once
 
 
 def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
