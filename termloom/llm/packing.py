@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .tokens import serialised_tokenizer, tokenizer_of
 
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids_crc32 long"
@@ -114,54 +114,50 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
     return out
 
 
-def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int) -> DataFrame:
-    """kind 0: a document (ids as uint16, or uint32 for large vocabularies); kind 1: terms and their document counts."""
+def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_ids: bool) -> DataFrame:
+    """kind 0: a document, with checksums (and ids, if wanted) of its full windows and the ids of its rest; kind 1: terms and their counts."""
     id_type = source.schema[0].dataType.simpleString()
+    names = ["kind", "doc_id", "n", "crcs", "full", "rest", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer_of(tokenizer)
-        wide = encode.tokenizer.get_vocab_size() > 1 << 16
-        df = np.zeros(encode.tokenizer.get_vocab_size(), np.int64)
-        seen = np.zeros(len(df), bool)
+        vocabulary = encode.tokenizer.get_vocab_size()
+        small = "<u2" if vocabulary <= 1 << 16 else "<u4"
+        df = np.zeros(vocabulary, np.int64)
+        seen = np.zeros(vocabulary, bool)
         docs = tokens = 0
         id_field = None
         for batch in batches:
             id_field = batch.schema.field(0)
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = [np.append(x, np.uint32(1)) for x in encode.encode_batch(part.column(1).to_pylist())]
-                for x in ids:
-                    rest = x[len(x) - len(x) % window :]
+                sizes, crcs, full, rests = [], [], [], []
+                for x in encode.encode_batch(part.column(1).to_pylist()):
+                    x = np.append(x, np.uint32(1)).astype("<u4")
+                    stop = len(x) - len(x) % window
+                    raw, rest = x[:stop].tobytes(), x[stop:]
+                    sizes.append(len(x))
+                    crcs.append([zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)])
+                    full.append(raw if with_ids and raw else None)
+                    rests.append(rest.astype(small).tobytes())
                     if len(rest):
                         seen[rest] = True
                         df += seen
                         seen[rest] = False
                         docs += 1
                         tokens += len(rest)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.zeros(len(ids), np.int8)),
-                        part.column(0),
-                        pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary()),
-                        pa.array([None] * len(ids), pa.binary()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                    ],
-                    ["kind", "doc_id", "ids", "counts", "n"],
-                )
+                n = len(sizes)
+                columns = [pa.array(np.zeros(n, np.int8)), part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
+                columns += [pa.array(full, pa.binary()), pa.array(rests, pa.binary()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
         if docs:
             terms = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([1], pa.int8()),
-                    pa.nulls(1, id_field.type),
-                    pa.array([np.append(terms, [-1, -2]).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([np.append(df[terms], [docs, tokens]).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([None], pa.int64()),
-                ],
-                ["kind", "doc_id", "ids", "counts", "n"],
-            )
+            counts = np.stack([np.append(terms, [-1, -2]), np.append(df[terms], [docs, tokens])]).astype("<i8").tobytes()
+            columns = [pa.array([1], pa.int8()), pa.nulls(1, id_field.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))]
+            columns += [pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, f"kind tinyint, doc_id {id_type}, ids binary, counts binary, n long")
+    return source.mapInArrow(run, f"kind tinyint, doc_id {id_type}, n long, crcs array<long>, full binary, rest binary, counts binary")
 
 
 def _term_counts(encoded: DataFrame) -> dict[int, int]:
@@ -170,12 +166,12 @@ def _term_counts(encoded: DataFrame) -> dict[int, int]:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
-            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t, c in zip(np.frombuffer(terms, "<i8").tolist(), np.frombuffer(counts, "<i8").tolist(), strict=True):
+            for raw in batch.column(0).to_pylist():
+                for t, c in zip(*np.frombuffer(raw, "<i8").reshape(2, -1).tolist(), strict=True):
                     total[t] = total.get(t, 0) + c
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
 
-    sums = encoded.where("kind = 1").select("ids", "counts").mapInArrow(add, "term long, n long")
+    sums = encoded.where("kind = 1").select("counts").mapInArrow(add, "term long, n long")
     return {r["term"]: r["n"] for r in sums.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -207,8 +203,9 @@ def pack(
     tokenizer = serialised_tokenizer(tokenizer_path)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = source.schema[0].dataType.simpleString()
+    small_batches(spark)
     scratch = Scratch(spark, "packing")
-    encoded = scratch.write(_tokenise(source, tokenizer, window, rows), "encoded")
+    encoded = scratch.write(_tokenise(source, tokenizer, window, rows, with_ids), "encoded")
     counts = _term_counts(encoded)
     total, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
     vocabulary = max(counts, default=0) + 1
@@ -218,10 +215,9 @@ def pack(
             idf[t] = np.log(1 + (total - n + 0.5) / (n + 0.5))
     mean_length = tokens / max(1, total)
     route_of = np.where(idf > 0, np.random.default_rng(11).permutation(len(idf)), len(idf)).astype(np.int64)
-    width = 4 if _is_wide(tokenizer) else 2
-    unpack = "<u4" if width == 4 else "<u2"
+    unpack = "<u2" if tokenizer_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     fixed = spark.sparkContext.broadcast((idf, route_of))
-    body = encoded.where("kind = 0").select("doc_id", "ids", "n")
+    body = encoded.where("kind = 0")
     schema = PIECES.format(id=id_type) + (", ids binary" if with_ids else "")
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids_crc32", *(["ids"] if with_ids else [])]
 
@@ -232,19 +228,6 @@ def pack(
         columns = columns[: len(kinds)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)]))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence = WHOLE | TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part, out = batch.slice(at, rows), []
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.frombuffer(raw, unpack).astype("<u4")
-                    for start in range(0, len(ids) - window + 1, window):
-                        out.append((doc, start, window, len(ids), sequence, 0, window, ids[start : start + window].tobytes()))
-                        sequence += 1
-                if out:
-                    yield piece_batch(part.schema.field(0), out)
-
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         routes = fixed.value[1]
         for batch in batches:
@@ -288,15 +271,21 @@ def pack(
         if held:
             yield from finish()
 
-    rest = body.where(F.col("n") % window > 0).select(
-        "doc_id", F.expr(f"substring(ids, CAST({width} * (n - n % {window}) + 1 AS INT), CAST({width} * (n % {window}) AS INT))").alias("ids"), "n"
-    )
+    rest = body.where(F.col("n") % window > 0).select("doc_id", F.col("rest").alias("ids"), "n")
     routed = rest.mapInArrow(route, f"doc_id {id_type}, ids binary, n long, route long").withColumn("salt", F.xxhash64("doc_id", "ids"))
     dealt = routed.repartitionByRange(max(1, -(-tokens // shard_tokens)), "route", "salt").sortWithinPartitions("route", "salt", "doc_id", "n")
     packed = dealt.select("doc_id", "ids", "n").mapInArrow(shards, schema)
-    filled = body.where(F.col("n") >= window).select("doc_id", "ids").mapInArrow(whole, schema)
+    whole = body.where(F.col("n") >= window).select("doc_id", "n", *(["full"] if with_ids else []), F.posexplode("crcs").alias("i", "ids_crc32"))
+    at = F.col("i").cast("long") * window
+    filled = whole.select(
+        "doc_id",
+        at.alias("start"),
+        F.lit(window).cast("long").alias("length"),
+        F.col("n").alias("doc_tokens"),
+        (F.monotonically_increasing_id() + WHOLE).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"),
+        F.lit(window).cast("long").alias("padded_length"),
+        "ids_crc32",
+        *([F.substring("full", (at * 4 + 1).cast("int"), F.lit(4 * window)).alias("ids")] if with_ids else []),
+    )
     return filled.unionByName(packed)
-
-
-def _is_wide(tokenizer: str) -> bool:
-    return tokenizer_of(tokenizer).tokenizer.get_vocab_size() > 1 << 16
