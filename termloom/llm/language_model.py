@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 UNITS, TOP, RARE, END = 256, 127, 255, 0  # END, TOP frequent words, suffix classes, RARE
 SUFFIXES = RARE - TOP - 1
@@ -187,17 +187,17 @@ def score_texts(
     text_col: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_000_000,
     rounds: int = 2,
-    share: float = 0.5,
+    share: float = 1.0,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Documents whose identifier's crc32, modulo ``folds``, is ``held_fold`` are scored but
     not learned from. Tokens are the words between ASCII white space, A-Z in lower case,
     and one end. ``base_score`` is the add-one unigram's log10 probability, ``score`` the
-    network's. Counts cover every training token; the network's steps take ``share`` of
-    the mini-batches of every block, so they grow with the corpus.
+    network's. Counts cover every training token; so do the network's steps, in which each
+    round takes its own part of every block (``share`` below 1 takes less of it).
 
     Null and empty texts are the end alone. Rows that repeat an identifier are documents
     of their own. Null identifiers are learned from. Without training documents both
@@ -206,6 +206,7 @@ def score_texts(
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema[0].dataType.simpleString()
+    small_batches(spark)
     scratch = Scratch(spark, "language-model")
     blocks = scratch.write(_blocks(source, folds, held_fold, block_tokens), "blocks")
 
