@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
+def _state(links: DataFrame) -> tuple:
+    """Tells sets of links apart: their number, and two sums of their hashes."""
+    h = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(20,0)"))).first())
+
+
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, label`` of every node of ``links (a, b)``; the label is the component's smallest node.
 
@@ -17,7 +23,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     links = scratch.write(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
     )
-    step = 0
+    step, state = 0, _state(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: each larger neighbour links to the smallest node around.
@@ -32,10 +38,9 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         )
         step += 1
         new = scratch.write(small, f"{name}-{step}")
-        changed = new.join(links, ["a", "b"], "left_anti").limit(1).count() or links.join(new, ["a", "b"], "left_anti").limit(1).count()
         scratch.drop(f"{name}-{step - 1}")
-        links = new
-        if not changed:
+        before, links, state = state, new, _state(new)
+        if state == before:
             break
     roots = links.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

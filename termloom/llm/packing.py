@@ -124,7 +124,7 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
         vocabulary = encode.tokenizer.get_vocab_size()
         small = "<u2" if vocabulary <= 1 << 16 else "<u4"
         df = np.zeros(vocabulary, np.int64)
-        seen = np.zeros(vocabulary, bool)
+        seen, few = np.zeros(vocabulary, np.uint8), np.zeros(vocabulary, np.uint8)  # few: counts of up to 255 documents
         docs = tokens = 0
         id_field = None
         for batch in batches:
@@ -141,16 +141,20 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
                     full.append(raw if with_ids and raw else None)
                     rests.append(rest.astype(small).tobytes())
                     if len(rest):
-                        seen[rest] = True
-                        df += seen
-                        seen[rest] = False
+                        seen[rest] = 1
+                        few += seen
+                        seen[rest] = 0
                         docs += 1
+                        if docs % 255 == 0:
+                            df += few
+                            few[:] = 0
                         tokens += len(rest)
                 n = len(sizes)
                 columns = [pa.array(np.zeros(n, np.int8)), part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 columns += [pa.array(full, pa.binary()), pa.array(rests, pa.binary()), pa.nulls(n, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if docs:
+            df += few
             terms = np.flatnonzero(df)
             counts = np.stack([np.append(terms, [-1, -2]), np.append(df[terms], [docs, tokens])]).astype("<i8").tobytes()
             columns = [pa.array([1], pa.int8()), pa.nulls(1, id_field.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))]

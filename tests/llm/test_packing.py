@@ -59,6 +59,18 @@ def test_every_id_lies_in_one_piece(spark, docs_of, reference, window):
     assert "ids" not in lean and lean.length.sum() == rows.length.sum()
 
 
+def test_document_frequencies_cover_every_document(docs_of):
+    from pyspark.sql import functions as F
+
+    from termloom.llm.packing import _term_counts, _tokenise
+
+    source = docs_of([f"common {'odd' if i % 3 == 0 else ''}" for i in range(900)]).select("doc_id", "text").coalesce(1)
+    encoded = _tokenise(source, serialised_tokenizer(), 2048, 128, False)
+    counts = _term_counts(encoded)
+    assert (counts[-1], counts[1]) == (900, 900)
+    assert sorted(counts.values())[:1] == [300] and encoded.agg(F.sum("n")).first()[0] == counts[-2]
+
+
 def test_repeated_rows_and_empty_table(docs_of):
     assert pack(docs_of([])).collect() == []
     rows = pack(docs_of(["a b", "a b"], [1, 1])).collect()
