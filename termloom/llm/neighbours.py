@@ -1,9 +1,8 @@
-"""Approximate nearest neighbours by cosine, with a permutation index.
+"""Approximate nearest neighbours by cosine, with an inverted file for each pivot.
 
-A vector is represented by the order of its nearest pivots. It is posted in the
-inverted files of its first ``post`` pivots; a query reads the files of its first
-``probe`` pivots, ranks what is posted there by the footrule distance between the
-two orders, and reranks the closest by the exact cosine.
+A vector is posted in the inverted files of its ``post`` nearest pivots; a query reads
+the files of its ``probe`` nearest pivots and takes the exact cosine of everything that
+is posted there. So a neighbour is missed only if it is in none of the files read.
 
 Pivots are a sample of fixed size (``pivots`` rows, those with the smallest hash of
 their identifier); every row is indexed. Equal vectors are posted once, with the
@@ -32,13 +31,30 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _orders(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pivots by closeness, and each pivot's place in that order."""
+def _order(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Pivots by closeness."""
     unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-    order = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")
-    places = np.empty(order.shape, np.int16)
-    np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int16)[None], 1)
-    return order, places
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")
+
+
+def _best(vx: np.ndarray, uid: np.ndarray, qx: np.ndarray, most: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ``most`` vectors of the largest cosine, ties to the smaller ``uid``: their places and cosines.
+
+    All vectors are scored by a product of matrices, whose last digits may vary with its
+    shape; what that leaves in question is scored again, alike in every chunk.
+    """
+    norms = np.sqrt((vx * vx).sum(1))
+    unit = vx / norms[:, None]
+    most = min(most, len(vx))
+    for at in range(0, len(qx), block):
+        part = qx[at : at + block]
+        rough = (part / np.sqrt((part * part).sum(1, keepdims=True))) @ unit.T
+        least = np.partition(rough, -most, axis=1)[:, -most] - 1e-9
+        for q, scores, floor in zip(part, rough, least, strict=True):
+            near = np.flatnonzero(scores >= floor)
+            score = (vx[near] * q).sum(1) / (norms[near] * np.sqrt((q * q).sum()))
+            best = np.lexsort((uid[near], -score))[:most]
+            yield near[best], score[best]
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -59,14 +75,12 @@ def nearest(
     pivots: int = 128,
     post: int = 3,
     probe: int = 48,
-    rerank: int = 100,
     chunk: int = 8_192,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: up to ``k`` rows per query, nearest first, ties to the smaller identifier.
 
     ``queries`` are rows of the same shape, by default all of ``vectors``; a query's
-    candidates are all rows with another identifier. ``rerank`` is how many vectors of
-    one file, by footrule distance, get an exact cosine for one query.
+    candidates are all rows with another identifier.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows with a
     null identifier, take no part; nor do those whose dimension is not the most frequent
@@ -105,24 +119,23 @@ def nearest(
                 for at in range(0, batch.num_rows, 1_024):
                     part = batch.slice(at, 1_024)
                     x = _matrix(part.column(0), dim)
-                    order, places = _orders(x, pivot)
+                    order = _order(x, pivot)
                     n = min(depth, order.shape[1])
                     take = pa.array(np.repeat(np.arange(len(x)), n))
                     raw = pa.array([r.tobytes() for r in x], pa.binary()).take(take)
-                    place = pa.array([r.tobytes() for r in places], pa.binary()).take(take)
                     own = [part.column(1 + i).take(take) for i in range(carry)]
                     files = pa.array(order[:, :n].ravel().astype(np.int32))
-                    names = ["vector", "places", *part.schema.names[1 : 1 + carry], "file"]
-                    yield pa.RecordBatch.from_arrays([raw, place, *own, files], names)
+                    names = ["vector", *part.schema.names[1 : 1 + carry], "file"]
+                    yield pa.RecordBatch.from_arrays([raw, *own, files], names)
 
         return run
 
     posted = scratch.write(
-        classes.select("embedding", "uid", "ids").mapInArrow(to_files(post, 2), "vector binary, places binary, uid long, ids array<long>, file int"),
+        classes.select("embedding", "uid", "ids").mapInArrow(to_files(post, 2), "vector binary, uid long, ids array<long>, file int"),
         "posted",
     )
     probes = scratch.write(
-        asked.select("embedding", "quid").dropDuplicates(["quid"]).mapInArrow(to_files(probe, 1), "vector binary, places binary, quid long, file int"),
+        asked.select("embedding", "quid").dropDuplicates(["quid"]).mapInArrow(to_files(probe, 1), "vector binary, quid long, file int"),
         "probes",
     )
     # One row per file: a table of the pivots' size.
@@ -146,22 +159,13 @@ def nearest(
     def search(q: pa.Table, v: pa.Table) -> pa.Table:
         out_q, out_v, out_s, out_i = [], [], [], []
         if q.num_rows and v.num_rows:
-            decode = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(t.num_rows, -1)
-            vx, vp, qx, qp = decode(v, "vector", "f8"), decode(v, "places", "i2"), decode(q, "vector", "f8"), decode(q, "places", "i2")
+            decode = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), "f8").reshape(t.num_rows, -1)
             uid, quid = v.column("uid").to_numpy(), q.column("quid").to_numpy()
-            norms = np.sqrt((vx * vx).sum(1))
-            for i in range(len(qx)):
-                near = np.arange(len(vx))
-                if len(vx) > rerank:
-                    footrule = np.abs(vp - qp[i]).sum(1, dtype=np.int32)
-                    # Everything as close as the last is reranked too, so the order of rows does not matter.
-                    near = np.flatnonzero(footrule <= np.partition(footrule, rerank - 1)[rerank - 1])
-                score = (vx[near] * qx[i]).sum(1) / (norms[near] * np.sqrt((qx[i] * qx[i]).sum()))
-                best = np.lexsort((uid[near], -score))[: k + 1]
-                out_q += [quid[i]] * len(best)
-                out_v += uid[near[best]].tolist()
-                out_s += score[best].tolist()
-                out_i += near[best].tolist()
+            for query, (best, score) in zip(quid.tolist(), _best(decode(v), uid, decode(q), k + 1), strict=True):
+                out_q += [query] * len(best)
+                out_v += uid[best].tolist()
+                out_s += score.tolist()
+                out_i += best.tolist()
         ids = v.column("ids").combine_chunks().take(pa.array(out_i, pa.int64()))
         return pa.table({"quid": pa.array(out_q, pa.int64()), "uid": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64()), "ids": ids})
 

@@ -59,3 +59,16 @@ def test_invalid_vectors_and_few_rows(spark):
     assert nearest(df.limit(0)).collect() == []
     twice = df.where("vec_id >= 10").unionByName(df.where("vec_id = 10"))
     assert sorted(map(tuple, nearest(twice).collect())) == sorted(map(tuple, nearest(df).collect()))
+
+
+def test_all_of_a_file_that_is_read_gets_an_exact_cosine(spark):
+    rng = np.random.default_rng(7)
+    loose = rng.standard_normal((800, 32))
+    hot = rng.standard_normal(32) * 4 + rng.standard_normal((1_200, 32))
+    for vectors in (loose, np.concatenate([loose, hot])):
+        # Every query reads every file, and files are of hundreds of vectors: nothing may be missed.
+        df, n = table(spark, vectors), len(vectors)
+        out = nearest(df, df.where("vec_id % 50 = 0"), pivots=4, post=1, probe=4, chunk=600).collect()
+        for q in range(0, n, 50):
+            want, _ = brute(vectors, np.arange(n), q, 5)
+            assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
