@@ -11,8 +11,9 @@
    forest of the likely links is proposed.
 3. Proposed links are confirmed on the full sets; confirmed ones give components.
 4. Likely links between different components, which the forest left out, are proposed
-   next, more of them in each round, until none is unconfirmed. So a link can be
-   skipped only inside a component: the components are those of all likely links.
+   next, more of them in each round, until no list of them is cut and none is
+   unconfirmed. So a link can be skipped only inside a component: the components are
+   those of all likely links.
 
 Buckets are worked on in chunks of bounded size. In later rounds, the members of a
 large bucket that are outside its main component visit all of its chunks.
@@ -158,8 +159,8 @@ def likely_links(
     similarity: float,
     most_bits: int,
     most: int | None,
-) -> list[tuple[int, int]]:
-    """Likely links of one chunk, as pairs of positions.
+) -> list[tuple[int, int, bool]]:
+    """Likely links of one chunk, as pairs of positions, and whether others of the same labels were left out.
 
     ``most`` None: a spanning forest, breadth first from the smallest identifiers, so that
     different buckets propose the same links. Otherwise the ``most`` closest pairs for each
@@ -169,7 +170,7 @@ def likely_links(
     count, words, more = len(sketch), BITS // 64, (BITS + FINE_BITS) // 64
     coarse, fine = np.ascontiguousarray(sketch[:, :words]), np.ascontiguousarray(sketch[:, words:more])
     keys = np.ascontiguousarray(sketch[:, more:]).view(np.uint32)[:, :band]
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, bool]] = []
 
     def close(i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``among`` are likely links of ``i``, and the bits that differ."""
@@ -192,7 +193,7 @@ def likely_links(
                 near = close(i, np.flatnonzero(waiting))[0]
                 waiting[near] = False
                 for j in order[np.isin(order, near)] if len(near) > 1 else near:
-                    out.append((int(j), int(i)))
+                    out.append((int(j), int(i), False))
                     queue.append(int(j))
         return out
     found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -203,27 +204,28 @@ def likely_links(
             key = (min(label[i], label[j]), max(label[i], label[j]))
             found.setdefault(key, []).append((differ, int(i), j))
     for pairs in found.values():
-        out += [(i, j) for _, i, j in sorted(pairs)[:most]]
+        out += [(i, j, len(pairs) > most) for _, i, j in sorted(pairs)[:most]]
     return out
 
 
 def _propose(members: DataFrame, similarity: float, most_bits: int, most: int | None) -> DataFrame:
-    """Distinct proposed links (a > b) of all chunks; members: bucket, chunk, band, uid, n, sketch, label, guest."""
+    """Distinct proposed links (a > b) of all chunks, and whether one's list was cut; members: bucket, chunk, band, uid, n, sketch, label, guest."""
 
     def run(rows: pa.Table) -> pa.Table:
         if rows.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cut": pa.array([], pa.bool_())})
         uid = rows.column("uid").to_numpy()
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(uid), -1)
         size, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
         guest = rows.column("guest").to_numpy(zero_copy_only=False)
         band = rows.column("band")[0].as_py()
         found = likely_links(sketch, size, label, guest, np.argsort(uid, kind="stable"), band, similarity, most_bits, most)
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        pairs = np.array(found, np.int64).reshape(-1, 3)
         a, b = uid[pairs[:, 0]], uid[pairs[:, 1]]
-        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
+        return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), "cut": pa.array(pairs[:, 2] > 0)})
 
-    return members.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long").where("a <> b").distinct()
+    found = members.groupBy("bucket", "chunk").applyInArrow(run, "a long, b long, cut boolean").where("a <> b")
+    return found.groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -284,7 +286,7 @@ def near_duplicates(
     )
     most_bits = most_different_bits(similarity - margin)
     alone = members.select("*", F.col("uid").alias("label"), F.lit(False).alias("guest"))
-    proposed = scratch.write(_propose(alone, similarity, most_bits, None), "proposed-0")
+    proposed = scratch.write(_propose(alone, similarity, most_bits, None).select("a", "b"), "proposed-0")
 
     # Those with a likely link; in a large bucket, one may be in another chunk.
     nodes = proposed.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(members.where(F.col("size") > chunk).select("uid"))
@@ -303,18 +305,26 @@ def near_duplicates(
     confirmed = scratch.write(_confirm(proposed, sets, similarity), "confirmed-0")
     members = members.join(nodes, "uid", "left_semi")
 
-    turn, most = 0, 16
+    turn, most, labels = 0, 16, None
     while True:
-        links = confirmed.where("linked").select("a", "b")
-        labels = scratch.write(connected_components(links, scratch, f"links-{turn}"), f"labels-{turn}")
-        named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        fresh = _propose(_visits(named, chunk), similarity, most_bits, most).join(confirmed.select("a", "b"), ["a", "b"], "left_anti")
+        if labels is None:
+            links = confirmed.where("linked").select("a", "b")
+            labels = scratch.write(connected_components(links, scratch, f"links-{turn}"), f"labels-{turn}")
+            named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+        known = confirmed.select("a", "b", F.lit(True).alias("known"))
+        listed = _propose(_visits(named, chunk), similarity, most_bits, most).join(known, ["a", "b"], "left")
         turn += 1
-        fresh = scratch.write(fresh, f"proposed-{turn}")
-        if not fresh.limit(1).count():
+        listed = scratch.write(listed.select("a", "b", "cut", F.col("known").isNull().alias("fresh")), f"proposed-{turn}")
+        state = listed.agg(F.bool_or("cut").alias("cut"), F.bool_or("fresh").alias("fresh")).first()
+        if not state["cut"] and not state["fresh"]:
             break
-        done = confirmed.unionByName(_confirm(fresh, sets, similarity))
-        confirmed = scratch.write(done, f"confirmed-{turn}")
+        if state["fresh"]:
+            found = scratch.write(_confirm(listed.where("fresh").select("a", "b"), sets, similarity), f"found-{turn}")
+            if found.where("linked").limit(1).count():
+                labels = None
+            confirmed = scratch.write(confirmed.unionByName(found), f"confirmed-{turn}")
+            scratch.drop(f"found-{turn}")
+        scratch.drop(f"proposed-{turn}")
         most *= 8
 
     component = classes.select("digest", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left")

@@ -64,6 +64,24 @@ def test_against_brute_force(docs_of):
         assert run(docs_of(texts, ids), chunk=chunk) == brute(texts, ids)
 
 
+def hidden_link(seed):
+    """Two groups joined by the texts 22 and 23 only; closer pairs of them that are no links come first in the lists."""
+    rng = random.Random(seed)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n)]
+    before, core, one, other = words(28), words(89), words(15), words(14)
+    texts = [core + one, *(core + other + words(1) for _ in range(20))]
+    texts += [before[5:] + core + one + words(2), before + core + one + words(2), before + core + other + words(3)]
+    texts[21][-2:] = texts[22][-2:]
+    return [" ".join(t) for t in texts]
+
+
+def test_a_list_full_of_refuted_pairs_does_not_end_the_rounds(docs_of):
+    texts = hidden_link(0)
+    want = brute(texts, range(24))
+    assert {c for *_, c in want} == {0}
+    assert run(docs_of(texts)) == want
+
+
 def test_filter_null_ids_and_empty_table(docs_of):
     texts, ids = ["a b c d e f", "a b c d e f", "x", "a b c d e f"], [7, 3, 5, None]
     df = docs_of(texts, ids)
