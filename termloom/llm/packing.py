@@ -9,8 +9,9 @@
    distribution of routes, since a hot route is cut between salts.
 4. Each shard builds a BM25 inverted index (document frequencies: whole corpus). The
    longest unused remainder seeds a window; the index returns its unused neighbours,
-   best first. Those that fit whole are placed, then the best one that does not fit
-   is cut to fill the window, and its rest stays unused.
+   best first, 64 at a time. Those that fit whole are placed, then the best one that
+   does not fit is cut to fill the window, and its rest stays unused. When all 64 are
+   used, the next best follow; any other document only when none with a score is left.
 
 Only the last window of a shard is padded. The vocabulary is the tokenizer's, so what
 the driver gathers and broadcasts has its size, not the corpus's.
@@ -67,7 +68,7 @@ class ShardIndex:
 
 
 def best_first(scores: np.ndarray, found: np.ndarray, most: int = 64) -> np.ndarray:
-    """The ``most`` best of ``found``, best first, ties to the earlier. A window's room is filled long before."""
+    """The ``most`` best of ``found`` (and ties of the last), best first, ties to the earlier."""
     if len(found) > most:
         found = found[scores[found] >= np.partition(scores[found], -most)[-most]]
     return found[np.argsort(-scores[found], kind="stable")]
@@ -101,6 +102,10 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
             scores = index.scores(terms[idf[terms] > 0]) * (left > 0)
             near = best_first(scores, np.flatnonzero(scores))
             while room:
+                if not len(near):
+                    # These neighbours are used up: the next best.
+                    scores[left == 0] = 0
+                    near = best_first(scores, np.flatnonzero(scores))
                 if not len(near):
                     # No unused neighbour is left: any unused document, the earliest first.
                     near = np.flatnonzero(left)[:1]

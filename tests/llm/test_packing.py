@@ -96,3 +96,11 @@ def test_neighbours_share_windows():
     assert same >= 0.8 * len(windows)
     assert sum(n for w in windows for _, _, n in w) == 30 * 32
     assert all(sum(n for *_, n in w) == 60 for w in windows)
+
+
+def test_neighbours_fill_the_window_however_short():
+    # Two topics in turns, 300 documents of 10 ids each: a window has room for more neighbours than are taken at a time.
+    docs = [np.repeat([k % 2, 10 + k], [1 + k // 2 % 9, 9 - k // 2 % 9]) for k in range(600)]
+    windows = pack_shard(docs, np.full(700, 1.0), 10.0, 2_000)
+    assert sum(n for w in windows for _, _, n in w) == 6_000
+    assert [{d % 2 for d, _, _ in w} for w in windows] == [{0}, {1}, {0, 1}]
