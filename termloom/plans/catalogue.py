@@ -120,6 +120,23 @@ def scalar_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scalar_sequences_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of each line's words against all but the first, all but the last, and in reverse."""
+    a = dictionary.tokenize(F.col("line"))
+    rows = _lines(spark, sf_dir).select("doc_id", "line_no", a.alias("a"), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))).alias("p"), F.slice(a, F.lit(2), F.size(a)).alias("b"))
+    return rows.select(
+        "doc_id",
+        "line_no",
+        seq.lcp(F.col("a"), F.col("b")).alias("lcp_shifted"),
+        seq.lcp(F.col("a"), F.col("p")).alias("lcp_prefix"),
+        seq.is_prefix(F.col("p"), F.col("a")).alias("p_is_prefix"),
+        seq.is_prefix(F.col("b"), F.col("a")).alias("b_is_prefix"),
+        seq.is_suffix(F.col("b"), F.col("a")).alias("tail_is_suffix"),
+        seq.is_suffix(F.col("p"), F.col("a")).alias("p_is_suffix"),
+        F.array_join(F.reverse("a"), " ").alias("reversed"),
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed n-grams by the suffix method."""
     return _ngrams(spark, sf_dir, "documents", NGramType.CLOSED, "suffix")
@@ -128,7 +145,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         tokenize_lines, tokenize_lines_reference, word_counts, dictionary_ids, encoded_tokens, encoded_lines, frequent_terms, frequent_runs,
-        suffixes_sigma5, postings_k2, index_support, scalar_sequences,
+        suffixes_sigma5, postings_k2, index_support, scalar_sequences, scalar_sequences_lines,
     )
     found: dict[str, Query] = {f.__name__: f for f in plain}
     for kind in NGramType:
@@ -230,6 +247,12 @@ def oracle_sql() -> dict[str, str]:
                    CAST(len(p) AS INT) AS lcp_prefix,
                    true AS p_is_prefix, len(b) <= len(a) AND a[1:len(b)] = b AS b_is_prefix, true AS tail_is_suffix,
                    a[len(a) - len(p) + 1:len(a)] = p AS p_is_suffix, array_to_string(list_reverse(a), ' ') AS reversed FROM v""",
+        "scalar_sequences_lines": f"""WITH {base}, v AS (SELECT doc_id, line_no, w AS a, w[1:len(w) - 1] AS p, w[2:len(w)] AS b FROM toks)
+            SELECT doc_id, line_no,
+                   CAST(coalesce(list_min(list_filter(range(1, len(b) + 1), lambda i: a[i] <> b[i])) - 1, len(b)) AS INT) AS lcp_shifted,
+                   CAST(len(p) AS INT) AS lcp_prefix, a[1:len(p)] = p AS p_is_prefix, a[1:len(b)] = b AS b_is_prefix,
+                   a[len(a) - len(b) + 1:len(a)] = b AS tail_is_suffix, a[len(a) - len(p) + 1:len(a)] = p AS p_is_suffix,
+                   array_to_string(list_reverse(a), ' ') AS reversed FROM v""",
     }
     for kind in NGramType:
         for method in METHODS:

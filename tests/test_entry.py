@@ -30,3 +30,20 @@ def test_queries_match_sql(spark, name):
     columns = sorted(want.columns)
     rows = lambda df: sorted(map(str, df[columns].itertuples(index=False, name=None)))
     assert sorted(got.columns) == columns and rows(got) == rows(want)
+
+
+def test_sequences_of_whole_lines(spark, tmp_path):
+    texts = ["a b c d e f g h i j", " ".join(["x"] * 12 + ["y"]), "one", "", "...\nx x x x x x x x x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = "scalar_sequences_lines"
+    for sf in (str(tmp_path), SF):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet{'/*.parquet' if sf != SF else ''}')")
+        got, want = entry.queries()[name](spark, sf).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+        rows = lambda df: sorted(map(str, df[sorted(want.columns)].itertuples(index=False, name=None)))
+        assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+        if sf != SF:
+            found = {(r.doc_id, r.line_no): (r.lcp_shifted, r.b_is_prefix, r.reversed) for r in got.itertuples()}
+            assert found[0, 0] == (0, False, "j i h g f e d c b a")
+            assert found[1, 0] == (11, False, " ".join(["y"] + ["x"] * 12))
+            assert found[2, 0] == (0, True, "one") and found[4, 1][:2] == (8, True)
