@@ -1,17 +1,19 @@
 """Lexical retrieval packing into fixed windows.
 
 1. Every document is tokenised once; ids go to a scratch table, and with them each
-   task's document frequencies of the vocabulary's terms (token ids).
+   task's document frequencies of the vocabulary's terms (token ids), which count
+   whole documents.
 2. Full windows of long documents are sequences as they are; what is left of each
    document (less than a window) is packed with lexical neighbours.
 3. Remainders are routed by a MinHash of their informative terms and range-partitioned
    by (route, salt) with sampled splitters: shards are of equal size whatever the
    distribution of routes, since a hot route is cut between salts.
-4. Each shard builds a BM25 inverted index (document frequencies: whole corpus). The
-   longest unused remainder seeds a window; the index returns its unused neighbours,
-   best first, 64 at a time. Those that fit whole are placed, then the best one that
-   does not fit is cut to fill the window, and its rest stays unused. When all 64 are
-   used, the next best follow; any other document only when none with a score is left.
+4. Each shard builds a BM25 inverted index (document frequencies: whole corpus,
+   lengths: against the mean of all remainders). The longest unused remainder seeds a
+   window; the index returns its unused neighbours, best first, 64 at a time. Those
+   that fit whole are placed, then the best one that does not fit is cut to fill the
+   window, and its rest stays unused. When all 64 are used, the next best follow; any
+   other document only when none with a score is left.
 
 Only the last window of a shard is padded. The vocabulary is the tokenizer's, so what
 the driver gathers and broadcasts has its size, not the corpus's.
@@ -130,7 +132,7 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
         small = "<u2" if vocabulary <= 1 << 16 else "<u4"
         df = np.zeros(vocabulary, np.int64)
         seen, few = np.zeros(vocabulary, np.uint8), np.zeros(vocabulary, np.uint8)  # few: counts of up to 255 documents
-        docs = tokens = 0
+        docs = rested = tokens = 0
         id_field = None
         for batch in batches:
             id_field = batch.schema.field(0)
@@ -145,15 +147,15 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
                     crcs.append([zlib.crc32(raw[i : i + 4 * window]) for i in range(0, len(raw), 4 * window)])
                     full.append(raw if with_ids and raw else None)
                     rests.append(rest.astype(small).tobytes())
-                    if len(rest):
-                        seen[rest] = 1
-                        few += seen
-                        seen[rest] = 0
-                        docs += 1
-                        if docs % 255 == 0:
-                            df += few
-                            few[:] = 0
-                        tokens += len(rest)
+                    seen[x] = 1
+                    few += seen
+                    seen[x] = 0
+                    docs += 1
+                    if docs % 255 == 0:
+                        df += few
+                        few[:] = 0
+                    rested += len(rest) > 0
+                    tokens += len(rest)
                 n = len(sizes)
                 columns = [pa.array(np.zeros(n, np.int8)), part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 columns += [pa.array(full, pa.binary()), pa.array(rests, pa.binary()), pa.nulls(n, pa.binary())]
@@ -161,7 +163,7 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
         if docs:
             df += few
             terms = np.flatnonzero(df)
-            counts = np.stack([np.append(terms, [-1, -2]), np.append(df[terms], [docs, tokens])]).astype("<i8").tobytes()
+            counts = np.stack([np.append(terms, [-1, -2, -3]), np.append(df[terms], [docs, tokens, rested])]).astype("<i8").tobytes()
             columns = [pa.array([1], pa.int8()), pa.nulls(1, id_field.type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))]
             columns += [pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([counts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -170,7 +172,7 @@ def _tokenise(source: DataFrame, tokenizer: str, window: int, rows: int, with_id
 
 
 def _term_counts(encoded: DataFrame) -> dict[int, int]:
-    """Document frequency by term; -1: documents, -2: tokens. As many rows as the vocabulary at most."""
+    """Document frequency by term; -1: documents, -2: tokens of remainders, -3: remainders. As many rows as the vocabulary at most."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
@@ -216,13 +218,13 @@ def pack(
     scratch = Scratch(spark, "packing")
     encoded = scratch.write(_tokenise(source, tokenizer, window, rows, with_ids), "encoded")
     counts = _term_counts(encoded)
-    total, tokens = counts.pop(-1, 0), counts.pop(-2, 0)
+    total, tokens, rested = counts.pop(-1, 0), counts.pop(-2, 0), counts.pop(-3, 0)
     vocabulary = max(counts, default=0) + 1
     idf = np.zeros(max(vocabulary, 1 << 16), np.float64)
     for t, n in counts.items():
         if n <= max(1, stop_share * total):
             idf[t] = np.log(1 + (total - n + 0.5) / (n + 0.5))
-    mean_length = tokens / max(1, total)
+    mean_length = tokens / max(1, rested)
     route_of = np.where(idf > 0, np.random.default_rng(11).permutation(len(idf)), len(idf)).astype(np.int64)
     unpack = "<u2" if tokenizer_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     fixed = spark.sparkContext.broadcast((idf, route_of))

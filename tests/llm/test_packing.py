@@ -71,6 +71,17 @@ def test_document_frequencies_cover_every_document(docs_of):
     assert sorted(counts.values())[:1] == [300] and encoded.agg(F.sum("n")).first()[0] == counts[-2]
 
 
+def test_document_frequencies_count_whole_documents(docs_of):
+    from termloom.llm.packing import _term_counts, _tokenise
+
+    texts = ["common " + "word " * n for n in range(40)]
+    source = docs_of(texts).select("doc_id", "text").coalesce(1)
+    large, small = (_term_counts(_tokenise(source, serialised_tokenizer(), window, 128, False)) for window in (2048, 4))
+    parts = (-2, -3)
+    assert small[-1] == 40 and {t: n for t, n in small.items() if t not in parts} == {t: n for t, n in large.items() if t not in parts}
+    assert large[-3] == 40 and 0 < small[-3] < 40 and small[-2] < large[-2]
+
+
 def test_repeated_rows_and_empty_table(docs_of):
     assert pack(docs_of([])).collect() == []
     rows = pack(docs_of(["a b", "a b"], [1, 1])).collect()
