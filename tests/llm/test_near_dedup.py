@@ -82,6 +82,38 @@ def test_a_list_full_of_refuted_pairs_does_not_end_the_rounds(docs_of):
     assert run(docs_of(texts)) == want
 
 
+def test_rows_that_share_an_identifier_are_documents_of_their_own(docs_of):
+    rng = random.Random(3)
+    one, other = ([rng.choice("abcdefgh") + rng.choice("uvwxyz") + str(rng.randint(0, 99)) for _ in range(60)] for _ in range(2))
+    rows = [(1, one), (1, other), (2, [*other, "end"]), (0, one[:58]), (2, ["alone"] * 9), (2, [*other, "end"])]
+    for order in (range(6), (1, 0, 2, 3, 4, 5), (5, 4, 3, 2, 1, 0)):
+        ids, texts = [rows[i][0] for i in order], [" ".join(rows[i][1]) for i in order]
+        df = docs_of(texts, ids)
+        assert run(df) == brute(texts, ids)
+        kept = drop_near_copies(df)
+        assert kept.columns == df.columns
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((i, " ".join(w)) for i, w in rows if (i, w) in ((0, one[:58]), (1, other), (2, ["alone"] * 9)))
+
+
+def test_large_buckets_are_cut(docs_of):
+    """Texts that share most of their words, in groups whose links cross the chunks."""
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    shared, texts = words(70), []
+    for _ in range(40):
+        own = words(rng.randint(18, 40))
+        for _ in range(rng.randint(1, 4)):
+            texts.append(" ".join([*shared, *own[: rng.randint(14, 40)], *words(rng.randint(0, 3))]))
+    ids = rng.sample(range(1_000), len(texts))
+    assert run(docs_of(texts, ids), chunk=8) == brute(texts, ids)
+
+
+def test_identifiers_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("b", "a b c d e f"), ("a`", "a b c d e f"), ("c", "x")], "`doc id` string, text string")
+    out = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, id_col="doc id").collect()}
+    assert out == {("b", "a`", False), ("a`", "a`", True), ("c", "c", True)}
+
+
 def test_filter_null_ids_and_empty_table(docs_of):
     texts, ids = ["a b c d e f", "a b c d e f", "x", "a b c d e f"], [7, 3, 5, None]
     df = docs_of(texts, ids)
