@@ -12,8 +12,9 @@
    lengths: against the mean of all remainders). The longest unused remainder seeds a
    window; the index returns its unused neighbours, best first, 64 at a time. Those
    that fit whole are placed, then the best one that does not fit is cut to fill the
-   window, and its rest stays unused. When all 64 are used, the next best follow; any
-   other document only when none with a score is left.
+   window, and its rest stays unused. When all 64 are used, the next best follow; then
+   those that share only terms of very many documents, by an index of these terms;
+   any other document only when none with a score is left.
 
 Only the last window of a shard is padded. The vocabulary is the tokenizer's, so what
 the driver gathers and broadcasts has its size, not the corpus's.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
-from .tokens import serialised_tokenizer, tokenizer_of
+from .tokens import release, serialised_tokenizer, tokenizer_of
 
 PIECES = "doc_id {id}, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids_crc32 long"
 K1, B = 1.2, 0.75
@@ -39,15 +40,15 @@ WHOLE = 1 << 62  # set in the sequence ids of windows that one document fills
 
 
 class ShardIndex:
-    """BM25 inverted index over the documents of one shard."""
+    """BM25 inverted index over the documents of one shard, for the terms of positive weight."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.count = len(docs)
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(docs)), lengths)
-        known = idf[flat] > 0
-        key, tf = np.unique(flat[known] * max(1, len(docs)) + owner[known], return_counts=True)
+        flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+        known = np.flatnonzero(idf[flat] > 0)
+        owner = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)[known]
+        key, tf = np.unique(flat[known].astype(np.int64) * max(1, len(docs)) + owner, return_counts=True)
         self.docs = (key % max(1, len(docs))).astype(np.int32)
         term = key // max(1, len(docs))
         norm = K1 * (1 - B + B * lengths[self.docs] / max(1.0, mean_length))
@@ -76,12 +77,22 @@ def best_first(scores: np.ndarray, found: np.ndarray, most: int = 64) -> np.ndar
     return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[tuple[int, int, int]]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int, common: np.ndarray | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of (document, first id, length) that hold every id of ``docs`` once.
 
-    Ties in score go to the earlier document.
+    Neighbours by the terms that are not ``common`` (a mask) come before those by the
+    common ones. Ties in score go to the earlier document.
     """
-    index = ShardIndex(docs, idf, mean_length)
+    weights = [idf] if common is None else [np.where(common, 0, idf), np.where(common, idf, 0)]
+    indexes: list[ShardIndex] = []  # made when first needed
+
+    def neighbours(level: int, seed: int) -> np.ndarray:
+        """Scores of the unused documents."""
+        if level == len(indexes):
+            indexes.append(ShardIndex(docs, weights[level], mean_length))
+        terms = np.unique(docs[seed]).astype(np.int64)
+        return indexes[level].scores(terms[weights[level][terms] > 0]) * (left > 0)
+
     first = np.zeros(len(docs), np.int64)
     left = np.fromiter(map(len, docs), np.int64, len(docs))
     out = []
@@ -100,14 +111,17 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
 
         place(seed, min(left[seed], room))
         if room:
-            terms = np.unique(docs[seed]).astype(np.int64)
-            scores = index.scores(terms[idf[terms] > 0]) * (left > 0)
+            level, scores = 0, neighbours(0, seed)
             near = best_first(scores, np.flatnonzero(scores))
             while room:
                 if not len(near):
                     # These neighbours are used up: the next best.
                     scores[left == 0] = 0
                     near = best_first(scores, np.flatnonzero(scores))
+                while not len(near) and level + 1 < len(weights):
+                    level += 1
+                    scores = neighbours(level, seed)
+                    near = best_first(scores, np.flatnonzero(scores))
                 if not len(near):
                     # No unused neighbour is left: any unused document, the earliest first.
                     near = np.flatnonzero(left)[:1]
@@ -192,7 +206,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 2048,
-    shard_tokens: int = 2_000_000,
+    shard_tokens: int = 1_000_000,
     stop_share: float = 0.1,
     rows: int = 128,
     with_ids: bool = True,
@@ -203,8 +217,8 @@ def pack(
     ``ids`` (only ``with_ids``) are little-endian unsigned 32-bit, ``ids_crc32`` their
     checksum. ``padded_length`` is the window, or the sequence's length where that is a
     power of two. Terms in more than ``stop_share``
-    of all documents are not indexed. A shard's memory is in proportion to
-    ``shard_tokens``: a larger partition is packed in several shards.
+    of all documents count only where others find no neighbour. A shard's memory is in
+    proportion to ``shard_tokens``: a larger partition is packed in several shards.
 
     Null and empty texts are the one id 1. Repeated rows and rows that share an
     identifier are packed one by one. Null identifiers are kept. An empty table gives
@@ -220,14 +234,14 @@ def pack(
     counts = _term_counts(encoded)
     total, tokens, rested = counts.pop(-1, 0), counts.pop(-2, 0), counts.pop(-3, 0)
     vocabulary = max(counts, default=0) + 1
-    idf = np.zeros(max(vocabulary, 1 << 16), np.float64)
+    idf, common = np.zeros(max(vocabulary, 1 << 16), np.float64), np.zeros(max(vocabulary, 1 << 16), bool)
     for t, n in counts.items():
-        if n <= max(1, stop_share * total):
-            idf[t] = np.log(1 + (total - n + 0.5) / (n + 0.5))
+        common[t] = n > max(1, stop_share * total)
+        idf[t] = np.log(1 + (total - n + 0.5) / (n + 0.5))
     mean_length = tokens / max(1, rested)
-    route_of = np.where(idf > 0, np.random.default_rng(11).permutation(len(idf)), len(idf)).astype(np.int64)
+    route_of = np.where((idf > 0) & ~common, np.random.default_rng(11).permutation(len(idf)), len(idf)).astype(np.int64)
     unpack = "<u2" if tokenizer_of(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-    fixed = spark.sparkContext.broadcast((idf, route_of))
+    fixed = spark.sparkContext.broadcast((idf, route_of, common))
     body = encoded.where("kind = 0")
     schema = PIECES.format(id=id_type) + (", ids binary" if with_ids else "")
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded_length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -240,13 +254,15 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=pa.schema([pa.field(n, k) for n, k in zip(names, kinds, strict=True)]))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         routes = fixed.value[1]
         for batch in batches:
             found = [int(routes[np.frombuffer(x, unpack)].min()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "route"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = fixed.value[0]
+        release()
+        weights, _, common = fixed.value
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size, id_field = 0, None
@@ -254,7 +270,7 @@ def pack(
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal sequence, size
             out: list[tuple] = []
-            for parts in pack_shard([h[1] for h in held], weights, mean_length, window):
+            for parts in pack_shard([h[1] for h in held], weights, mean_length, window, common):
                 offset, filled = 0, sum(p[2] for p in parts)
                 padded = filled if filled & (filled - 1) == 0 else window
                 for d, at, n in parts:
@@ -284,7 +300,9 @@ def pack(
 
     rest = body.where(F.col("n") % window > 0).select("doc_id", F.col("rest").alias("ids"), "n")
     routed = rest.mapInArrow(route, f"doc_id {id_type}, ids binary, n long, route long").withColumn("salt", F.xxhash64("doc_id", "ids"))
-    dealt = routed.repartitionByRange(max(1, -(-tokens // shard_tokens)), "route", "salt").sortWithinPartitions("route", "salt", "doc_id", "n")
+    # As many partitions as shards, but not more than the cluster's tasks ask for.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = routed.repartitionByRange(max(1, min(tasks, -(-tokens // shard_tokens))), "route", "salt").sortWithinPartitions("route", "salt", "doc_id", "n")
     packed = dealt.select("doc_id", "ids", "n").mapInArrow(shards, schema)
     whole = body.where(F.col("n") >= window).select("doc_id", "n", *(["full"] if with_ids else []), F.posexplode("crcs").alias("i", "ids_crc32"))
     at = F.col("i").cast("long") * window

@@ -2,13 +2,15 @@
 
 For tokenizers whose pre-tokenizer never crosses white space, a text's ids are the ids
 of its words in order. Words are found and hashed in numpy, over whole batches of
-texts, and looked up in a table of fixed size; only words that are not there are
-encoded, once for all their places in the batch.
+texts, and looked up in a table of fixed size. A word found by its hash is compared
+byte by byte with the text, so that no collision, by chance or by design, gives another
+word's ids. Only words that are not there are encoded, once for all their places in the
+batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -19,6 +21,7 @@ SIGNS = ".,;:!?#$%&*|\"()[]{}<>/+=~^_@-"
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_NAMES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 SEGMENT = 1 << 18  # bytes that are hashed at once
+LARGEST = 1 << 25  # ids, or bytes, of words that are held
 
 
 def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +44,11 @@ def _lowered(text: str) -> str:
 
 
 class WordTable:
-    """Hash table of words in numpy: 64 bits choose one of two places, 64 more must agree. Newer words displace older ones."""
+    """Hash table of words in numpy: their hash chooses one of two places. Newer words displace older ones."""
 
     def __init__(self, slots: int):
         self.mask = np.uint64(slots - 1)
-        self.key, self.check = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.key = np.zeros(slots, np.uint64)
         self.entry = np.full(slots, -1, np.int32)
 
     def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,22 +56,49 @@ class WordTable:
         x ^= x >> np.uint64(29)
         return (x & self.mask).astype(np.int64), ((x >> np.uint64(32)) & self.mask).astype(np.int64)
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Entry of each word, or -1."""
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """An entry whose word has this hash, or -1."""
         first, second = self._places(key)
-        out = np.where((self.key[first] == key) & (self.check[first] == check), self.entry[first], np.int32(-1))
+        out = np.where(self.key[first] == key, self.entry[first], np.int32(-1))
         rest = np.flatnonzero(out < 0)
         at = second[rest]
-        out[rest] = np.where((self.key[at] == key[rest]) & (self.check[at] == check[rest]), self.entry[at], np.int32(-1))
+        out[rest] = np.where(self.key[at] == key[rest], self.entry[at], np.int32(-1))
         return out
 
-    def add(self, key: np.ndarray, check: np.ndarray, entry: np.ndarray) -> None:
+    def add(self, key: np.ndarray, entry: np.ndarray) -> None:
         first, second = self._places(key)
         at = np.where((self.entry[first] >= 0) & (self.entry[second] < 0), second, first)
-        self.key[at], self.check[at], self.entry[at] = key, check, entry
+        self.key[at], self.entry[at] = key, entry
         # Of words of one call with one place, the last one's parts were all written: assignment is in order.
 
 
+class Flat:
+    """Growing rows of values, one after the other."""
+
+    def __init__(self, kind: type):
+        self.values = np.zeros(1 << 16, kind)
+        self.ends = np.zeros(1 << 14, np.int32)  # ends[i + 1]: where row i ends
+        self.count = 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        base, n = int(self.ends[self.count]), self.count + len(sizes)
+        while base + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while n + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.values[base : base + len(values)] = values
+        self.ends[self.count + 1 : n + 1] = base + np.cumsum(sizes)
+        self.count = n
+
+    def rows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of these rows, joined, and each row's size."""
+        begin = self.ends[which]
+        size = self.ends[which + 1] - begin
+        stop = np.cumsum(size, dtype=np.int64)
+        at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+        return self.values[at], size
+
+
 class WordTokenizer:
     """Encodes texts with a serialised tokenizer; ``capacity`` bounds the words that are held."""
 
@@ -85,7 +115,7 @@ class WordTokenizer:
         self.signs: dict[str, list[int]] = {}
         found = self._ids(MARK)
         self.mark = found[0] if len(found) == 1 else -1
-        self.hashes = [_powers(b) for b in (0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F)]
+        self.power, self.inverse = _powers(0x9DDFEA08EB382D69)
         self._reset()
         probe = ["the", "wörter.", "é", "ñandú,.", "ça#$", "...", "ß"]
         if [list(x) for x in self.encode_batch([p.upper() if p != "ß" else p for p in probe])] != [self._ids(p) for p in probe]:
@@ -93,25 +123,14 @@ class WordTokenizer:
 
     def _reset(self) -> None:
         self.table = WordTable(self.slots)
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 18, np.int64)  # ends[i + 1]: where entry i ends in flat
-        self.count = 0
+        self.ids_of, self.bytes_of = Flat(np.uint32), Flat(np.uint8)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _store(self, lists: Iterable[list[int]], sizes: np.ndarray) -> None:
-        total, base = int(sizes.sum()), int(self.ends[self.count])
-        while base + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.count + len(sizes) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.flat[base : base + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
-        self.ends[self.count + 1 : self.count + 1 + len(sizes)] = base + np.cumsum(sizes)
-        self.count += len(sizes)
-
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, raw: list[bytes]) -> None:
         """Append entries. A lower-case Latin-1 word, with or without signs after it, needs the model alone; others the whole tokenizer."""
+        words = [w.decode("utf-8", "replace") for w in raw]
         tokenize, memo, signs = self.tokenizer.model.tokenize, self.words, self.signs
         if len(memo) > 100_000:
             memo.clear()
@@ -148,7 +167,9 @@ class WordTokenizer:
         for i in rest:
             if lists[i] is None:
                 lists[i] = self._ids(words[i])
-        self._store(lists, np.fromiter(map(len, lists), np.int64, len(lists)))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.ids_of.add(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes)
+        self.bytes_of.add(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
 
     def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Where the words of a segment begin, and their entries."""
@@ -158,29 +179,36 @@ class WordTokenizer:
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if not len(start):
             return start, np.zeros(0, np.int64)
-        both = []
-        for power, inverse in self.hashes:
-            v = (b.astype(np.uint64) + np.uint64(1)) * power[: len(b)]
-            total = np.cumsum(v)
-            both.append((total[stop - 1] - total[start] + v[start]) * inverse[start])
-        key, check = both
-        check ^= (stop - start).astype(np.uint64)
-        entry = self.table.find(key, check).astype(np.int64)
+        v = (b.astype(np.uint64) + np.uint64(1)) * self.power[: len(b)]
+        total = np.cumsum(v)
+        key = (total[stop - 1] - total[start] + v[start]) * self.inverse[start]
+        entry = self.table.find(key).astype(np.int64)
+        self._compare(b[inside], stop - start, entry)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            _, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
-            new = missing[first]
-            base = self.count
-            self._learn([data[i:j].decode("utf-8", "replace") for i, j in zip(start[new].tolist(), stop[new].tolist(), strict=True)])
-            made = np.arange(base, self.count, dtype=np.int64)
-            self.table.add(key[new], check[new], made.astype(np.int32))
-            entry[missing] = made[which]
+            base = self.ids_of.count
+            new: dict[bytes, int] = {}
+            words = [data[i:j] for i, j in zip(start[missing].tolist(), stop[missing].tolist(), strict=True)]
+            entry[missing] = [base + new.setdefault(w, len(new)) for w in words]
+            first = missing[np.unique(entry[missing], return_index=True)[1]]
+            self._learn(list(new))
+            self.table.add(key[first], entry[first].astype(np.int32))
         return start, entry
 
+    def _compare(self, text: np.ndarray, size: np.ndarray, entry: np.ndarray) -> None:
+        """Unset the entries whose words are not those of the text (its words' bytes, joined)."""
+        known = entry >= 0
+        its = np.where(known, entry, 0)
+        known &= self.bytes_of.ends[its + 1] - self.bytes_of.ends[its] == size
+        here = np.flatnonzero(known)
+        if len(here):
+            stored, sizes = self.bytes_of.rows(entry[here])
+            differ = np.flatnonzero(stored != (text if len(here) == len(size) else text[np.repeat(known, size)]))
+            known[here[np.searchsorted(np.cumsum(sizes), differ, "right")]] = False
+        entry[~known] = -1
+
     def encode_batch(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text; null counts as empty."""
-        if self.count > self.capacity:
-            self._reset()
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         held: list[bytes] = []
         owners: list[int] = []
@@ -188,10 +216,11 @@ class WordTokenizer:
 
         def run() -> None:
             nonlocal size
+            if self.ids_of.count > self.capacity or max(self.ids_of.ends[self.ids_of.count], self.bytes_of.ends[self.bytes_of.count]) > LARGEST:
+                self._reset()
             start, entry = self._segment(b"\n".join(held))
-            begin, count = self.ends[entry], self.ends[entry + 1] - self.ends[entry]
-            stop = np.concatenate([[0], np.cumsum(count)])
-            ids = self.flat[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], count)]
+            ids, count = self.ids_of.rows(entry)
+            stop = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
             bounds = stop[np.searchsorted(start, np.cumsum([0, *(len(h) + 1 for h in held)]))]
             for k, i in enumerate(owners):
                 own = ids[bounds[k] : bounds[k + 1]]
@@ -243,6 +272,11 @@ def tokenizer_of(serialised: str) -> WordTokenizer:
     return _tokenizers[key]
 
 
+def release() -> None:
+    """Give up this worker's tokenizer and table, before work that needs the memory."""
+    _tokenizers.clear()
+
+
 def serialised_tokenizer(path: str | None = None) -> str:
     """The tokenizer file's content, read on the driver (a few MB, independent of the data)."""
     if path is None:

@@ -115,3 +115,26 @@ def test_neighbours_fill_the_window_however_short():
     windows = pack_shard(docs, np.full(700, 1.0), 10.0, 2_000)
     assert sum(n for w in windows for _, _, n in w) == 6_000
     assert [{d % 2 for d, _, _ in w} for w in windows] == [{0}, {1}, {0, 1}]
+
+
+def test_common_terms_count_where_others_find_nothing():
+    # All terms are common; documents share one with those of their own kind only.
+    docs = [np.array([k % 2] * 10) for k in range(40)]
+    windows = pack_shard(docs, np.full(2, 0.5), 10.0, 100, np.ones(2, bool))
+    assert all(len({d % 2 for d, _, _ in w}) == 1 for w in windows) and sum(n for w in windows for *_, n in w) == 400
+
+
+def test_few_documents_have_neighbours(docs_of):
+    rows = pack(docs_of([("left " if k % 2 else "right ") * 40 for k in range(12)]), window=128).toPandas()
+    for _, g in list(rows.groupby("sequence_id"))[:2]:
+        assert len(set(g.doc_id % 2)) == 1
+
+
+def test_words_with_one_hash_keep_their_own_ids(words, reference):
+    # Of a Thue-Morse word and its complement, polynomial hashes modulo 2^64 are equal for every base.
+    word = "a"
+    while len(word) < 2_048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    for texts in ([word, other], [other, word, other], [f"{word} x {other}"]):
+        assert [list(x) for x in words.encode_batch(texts)] == [reference(t) for t in texts]
