@@ -1,19 +1,21 @@
 """Log-bilinear language model, trained with noise-contrastive estimation in numpy.
 
-Words belong to output units: the text end and the most frequent words have their own,
-other words share one by their last bytes, and words seen once share the last with the
-unknown word. The network predicts the next unit from the vectors of the previous
-units: p(word | context) = p(unit | context) p(word | unit). Scores are exactly
-normalised, over the V distinct training tokens and one unknown, by matrix products
-over whole batches of contexts.
+Output units are the text end, the most frequent words, and, for all other words,
+classes by their last bytes; words seen once share the last unit with the unknown word.
+Units have vectors of their own, as context and as prediction, and lie in classes by
+frequency: p(word | context) = p(class | context) p(unit | class, context) p(word | unit),
+of which the first two are learned. Scores are exactly normalised, over the V distinct
+training tokens and one unknown, by matrix products over whole batches of contexts.
 
 1. Tasks split texts into words and write blocks of documents with a dictionary of
    their own (word, training count).
 2. Dictionary entries meet by word in one shuffle, which gives every entry the count
    over all training documents; they return to their blocks by a second one. The
    vocabulary is never gathered or broadcast; only unit tables of fixed size are.
-3. Training is data-parallel over all blocks: each task takes NCE steps from the
-   common parameters, which are averaged by a distributed sum, ``rounds`` times.
+3. Training documents are dealt to shards by a hash, in an order of their own, so that
+   the model does not depend on how rows were partitioned. Training is data-parallel
+   over all shards: each takes NCE steps from the common parameters, which are averaged
+   by a distributed sum, ``rounds`` times; together, the rounds take every token.
 4. Every document is scored with the final parameters.
 """
 
@@ -30,91 +32,183 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, small_batches
 
-UNITS, TOP, RARE, END = 256, 127, 255, 0  # END, TOP frequent words, suffix classes, RARE
-SUFFIXES = RARE - TOP - 1
-CONTEXT, DIM, NOISE, BATCH = 3, 24, 32, 2_048
+CLASSES, SLOTS = 128, 128
+UNITS, END = CLASSES * SLOTS, 0
+TOP = UNITS - SLOTS - 1  # words with a unit of their own: all classes but the last, without the end
+RARE = UNITS - 1
+SUFFIXES = SLOTS - 1  # the last class: words by suffix, and the rare ones
+LEAST = 8  # occurrences of a word with a unit of its own
+CONTEXT, DIM, NOISE, OWN_NOISE, BATCH = 3, 16, 32, 12, 4_096
+RATE, LAST_RATE = 0.12, 0.08  # of the first round's steps
 UNKNOWN_SHARE = 0.5  # of the last unit; the words seen once share the rest
+PIECE = 1 << 14  # parameters that are summed together
+
+
+class Unigram:
+    """Shares of classes, and of units in their class."""
+
+    def __init__(self, mass: np.ndarray):
+        mass = (mass + 1e-3).reshape(CLASSES, SLOTS)
+        by_class = mass.sum(1)
+        self.classes = by_class / by_class.sum()
+        self.units = mass / by_class[:, None]
+        self.steps = np.cumsum(self.units, 1)
+
+    def draw(self, classes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Noise units (n, OWN_NOISE) of each class."""
+        at = np.sort(rng.random((len(classes), OWN_NOISE)), 1)
+        flat = np.searchsorted((self.steps + np.arange(CLASSES)[:, None]).ravel(), at + classes[:, None])
+        return np.clip(flat, classes[:, None] * SLOTS, classes[:, None] * SLOTS + SLOTS - 1)
+
+
+class Text:
+    """Units of some documents, one after the other."""
+
+    def __init__(self, units: np.ndarray, sizes: np.ndarray):
+        self.units = units
+        # How many units of its document are before each one; more than the context does not matter.
+        self.before = np.full(len(units), CONTEXT, np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        for j in range(CONTEXT - 1, -1, -1):
+            self.before[starts[sizes > j] + j] = j
+
+    def contexts(self, places: np.ndarray) -> list[np.ndarray]:
+        """The previous units by distance, the nearest first; before a document stand ends."""
+        before = self.before[places]
+        return [np.where(before > j, self.units[np.maximum(places - j - 1, 0)], np.uint16(END)) for j in range(CONTEXT)]
 
 
 class LogBilinear:
-    """Vectors of context units by position, and of predicted units, with a bias each."""
+    """Vectors of context units, weights of their positions, vectors and biases of predicted classes and units."""
 
     def __init__(self, flat: np.ndarray):
-        n = CONTEXT * UNITS * DIM
         self.flat = flat
-        self.c = flat[:n].reshape(CONTEXT, UNITS, DIM)
-        self.q = flat[n : n + UNITS * DIM].reshape(UNITS, DIM)
-        self.b = flat[n + UNITS * DIM :]
+        at = 0
+
+        def take(*shape: int) -> np.ndarray:
+            nonlocal at
+            at += (n := int(np.prod(shape)))
+            return flat[at - n : at].reshape(shape)
+
+        self.r, self.d = take(UNITS, DIM), take(CONTEXT, DIM)
+        self.qc, self.bc = take(CLASSES, DIM), take(CLASSES)
+        self.q, self.b = take(UNITS, DIM), take(UNITS)
+        self.size = at
 
     @classmethod
-    def untrained(cls, unigram: np.ndarray, seed: int = 5) -> LogBilinear:
+    def untrained(cls, unigram: Unigram, seed: int = 5) -> LogBilinear:
         """Starts as the unigram model of the units."""
         rng = np.random.default_rng(seed)
-        vectors = rng.standard_normal((CONTEXT + 1) * UNITS * DIM) * 0.1
-        return cls(np.concatenate([vectors, np.log(np.maximum(unigram, 1e-9))]).astype(np.float32))
-
-    def predict(self, contexts: np.ndarray) -> np.ndarray:
-        """Predicted vectors; contexts: (n, CONTEXT) units, the nearest first."""
-        r = self.c[0][contexts[:, 0]]
+        size = 2 * UNITS * DIM + CONTEXT * DIM + CLASSES * (DIM + 1) + UNITS
+        net = cls((rng.standard_normal(size) * 0.1).astype(np.float32))
+        net.d[:] = 1 / np.arange(1, CONTEXT + 1)[:, None]
+        net.bc[:] = np.log(unigram.classes)
+        net.b[:] = np.log(unigram.units).ravel()
+        return net
+
+    def predict(self, contexts: list[np.ndarray]) -> np.ndarray:
+        """Predicted vectors; contexts: CONTEXT arrays of units, the nearest first."""
+        out = self.r[contexts[0]] * self.d[0]
         for j in range(1, CONTEXT):
-            r = r + self.c[j][contexts[:, j]]
-        return r
-
-    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Normalised natural logarithms for every unit, (n, UNITS)."""
-        s = self.predict(contexts) @ self.q.T
-        s += self.b
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
+            out += self.r[contexts[j]] * self.d[j]
+        return out
+
+    def class_scores(self, predicted: np.ndarray) -> np.ndarray:
+        """Of every class, not yet normalised."""
+        s = predicted @ self.qc.T
+        s += self.bc
+        return s
+
+    def unit_scores(self, predicted: np.ndarray, k: int) -> np.ndarray:
+        """Of every unit of class ``k``, not yet normalised."""
+        own = slice(k * SLOTS, (k + 1) * SLOTS)
+        s = predicted @ self.q[own].T
+        s += self.b[own]
         return s
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float = 0.15) -> None:
-        """Noise-contrastive estimation over mini-batches, with noise units that a batch shares (AdaGrad)."""
-        noise = rng.choice(UNITS, (max(1, -(-len(targets) // BATCH)), NOISE), p=unigram / unigram.sum())
-        log_noise = np.log(NOISE * np.maximum(unigram / unigram.sum(), 1e-9)).astype(np.float32)
+    def train(self, text: Text, pick: np.ndarray, unigram: Unigram, rng: np.random.Generator, rate: float = RATE, last: float = LAST_RATE) -> None:
+        """Steps for the tokens at the places ``pick``, in this order. Noise-contrastive estimation over mini-batches, of the class and of the unit in it (AdaGrad, from ``rate`` to ``last``).
+
+        A batch shares its noise classes, and for each class its noise units.
+        """
+        log_class, log_unit = np.log(unigram.classes).astype(np.float32), np.log(unigram.units).astype(np.float32).ravel()
         past = LogBilinear(np.full_like(self.flat, 0.1))
-        for k, at in enumerate(range(0, len(targets), BATCH)):
-            ctx, own, other = contexts[at : at + BATCH], targets[at : at + BATCH], noise[k]
-            r = self.predict(ctx)
-            qo = self.q[own]
-            d_own = -1 / (1 + np.exp(np.clip((r * qo).sum(1) + self.b[own] - log_noise[own], -30, 30)))
-            d_other = 1 / (1 + np.exp(-np.clip(r @ self.q[other].T + self.b[other] - log_noise[other], -30, 30)))
-            scale = np.float32(1 / len(own))
-            dr = (d_own[:, None] * qo + d_other @ self.q[other]) * scale
-            dq = _sum_by(own, d_own[:, None] * r) * scale
-            np.add.at(dq, other, d_other.T @ r * scale)
-            db = np.bincount(own, d_own, UNITS) * scale
-            np.add.at(db, other, d_other.sum(0) * scale)
-            _step(self.q, past.q, dq, rate)
-            _step(self.b, past.b, db, rate)
-            for j in range(CONTEXT):
-                _step(self.c[j], past.c[j], _sum_by(ctx[:, j], dr), rate)
-
-
-def _sum_by(units: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each unit."""
+        for at in range(0, len(pick), BATCH):
+            pace = rate + (last - rate) * at / len(pick)
+            places = pick[at : at + BATCH]
+            places = places[np.argsort(text.units[places], kind="stable")]  # by unit, hence by class
+            ctx, own = text.contexts(places), text.units[places].astype(np.int64)
+            kind = own // SLOTS
+            before = [self.r[c] for c in ctx]
+            p = before[0] * self.d[0]
+            for j in range(1, CONTEXT):
+                p += before[j] * self.d[j]
+            noise = rng.choice(CLASSES, (1, NOISE), p=unigram.classes)
+            dr, used, dq, db = _contrast(p, self.qc, self.bc, kind, np.zeros(1, np.int64), noise, log_class)
+            starts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+            noise = unigram.draw(kind[starts], rng)
+            more, its, dqu, dbu = _contrast(p, self.q, self.b, own, starts, noise, log_unit)
+            dr += more
+            dd = np.stack([np.einsum("ij,ij->j", dr, x) for x in before]) / len(own)
+            rows = np.concatenate([dr * self.d[j] for j in range(CONTEXT)])
+            _step(self.qc, past.qc, used, dq, pace)
+            _step(self.bc, past.bc, used, db, pace)
+            _step(self.q, past.q, its, dqu, pace)
+            _step(self.b, past.b, its, dbu, pace)
+            _step(self.d, past.d, np.arange(CONTEXT), dd, pace * 0.1)
+            _step(self.r, past.r, *_sum_by(np.concatenate(ctx), rows), pace)
+
+
+def log_probability(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural logarithm of each row's softmax at the chosen column."""
+    own = scores[np.arange(len(scores)), chosen]
+    with np.errstate(over="ignore"):
+        z = np.exp(scores).sum(1)
+    if not (z.min() > 1e-30 and np.isfinite(z).all()):
+        top = scores.max(1)
+        own, z = own - top, np.exp(scores - top[:, None]).sum(1)
+    return own - np.log(z)
+
+
+def _contrast(p: np.ndarray, q: np.ndarray, b: np.ndarray, own: np.ndarray, starts: np.ndarray, noise: np.ndarray, log_share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the contrastive loss by the predictions ``p``; the rows ``used`` of ``q`` and ``b``, and gradients by them.
+
+    ``own``, the targets, are sorted; groups of them begin at ``starts`` and share a row of ``noise``.
+    """
+    stops = [*starts[1:].tolist(), len(own)]
+    log_noise = np.float32(np.log(noise.shape[1])) + log_share
+    mine, others = q[own], q[noise]
+    z = np.empty((len(own), noise.shape[1]), p.dtype)
+    for g, (i, j) in enumerate(zip(starts.tolist(), stops, strict=True)):
+        np.matmul(p[i:j], others[g].T, out=z[i:j])
+    z += np.repeat(b[noise] - log_noise[noise], np.diff([*starts, len(own)]), axis=0)
+    d_noise = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    d_own = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", p, mine) + b[own] - log_noise[own], -30, 30)))
+    dp = d_own[:, None] * mine
+    d_others = np.empty(others.shape, p.dtype)
+    for g, (i, j) in enumerate(zip(starts.tolist(), stops, strict=True)):
+        dp[i:j] += d_noise[i:j] @ others[g]
+        np.matmul(d_noise[i:j].T, p[i:j], out=d_others[g])
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    rows = np.concatenate([np.add.reduceat(d_own[:, None] * p, first, axis=0), d_others.reshape(-1, p.shape[1])])
+    biases = np.concatenate([np.add.reduceat(d_own, first), np.add.reduceat(d_noise, starts, axis=0).ravel()])
+    used, both = _sum_by(np.concatenate([own[first], noise.ravel()]), np.concatenate([rows, biases[:, None]], 1))
+    return dp, used, both[:, :-1], both[:, -1]
+
+
+def _sum_by(units: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct units, and the sum of each one's rows."""
     order = np.argsort(units, kind="stable")
     found = units[order]
     first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    out = np.zeros((UNITS, rows.shape[1]), np.float32)
-    out[found[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
-
+    return found[first], np.add.reduceat(rows[order], first, axis=0)
 
-def _step(value: np.ndarray, past: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    past += grad * grad * 1e4
-    value -= (rate * 1e2 * grad / np.sqrt(past)).astype(np.float32)
 
-
-def contexts_of(units: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(n, CONTEXT) previous units, the nearest first; before a document stand ends."""
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(units)) - np.repeat(starts, sizes)
-    out = np.full((len(units), CONTEXT), END, np.uint8)
-    for j in range(CONTEXT):
-        has = place > j
-        out[has, j] = units[np.flatnonzero(has) - j - 1]
-    return out
+def _step(value: np.ndarray, past: np.ndarray, used: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """One AdaGrad step of the rows ``used``."""
+    total = past[used] + grad * grad
+    past[used] = total
+    value[used] -= (rate * grad / np.sqrt(total)).astype(np.float32)
 
 
 def _blocks(source: DataFrame, folds: int, held_fold: int, block_tokens: int) -> DataFrame:
@@ -187,9 +281,9 @@ def score_texts(
     text_col: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    block_tokens: int = 1_000_000,
+    block_tokens: int = 2_000_000,
+    shard_tokens: int = 6_000_000,
     rounds: int = 2,
-    share: float = 1.0,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -197,7 +291,7 @@ def score_texts(
     not learned from. Tokens are the words between ASCII white space, A-Z in lower case,
     and one end. ``base_score`` is the add-one unigram's log10 probability, ``score`` the
     network's. Counts cover every training token; so do the network's steps, in which each
-    round takes its own part of every block (``share`` below 1 takes less of it).
+    round takes its own part of every shard. Scores do not depend on the partitioning.
 
     Null and empty texts are the end alone. Rows that repeat an identifier are documents
     of their own. Null identifiers are learned from. Without training documents both
@@ -214,10 +308,11 @@ def score_texts(
     entries = (
         blocks.where("idx IS NOT NULL").select("block", "idx", "word", "n", F.xxhash64("word").alias("h"))
         .select(
-            "block", "idx", "h",
+            "block", "idx",
+            F.when(F.sum("n").over(same) >= LEAST, F.col("h")).alias("h"),
             F.sum("n").over(same).alias("c"),
             (F.min("block").over(same) == F.col("block")).alias("first"),
-            F.pmod(F.xxhash64(F.expr("substring(word, -3, 3)")), F.lit(SUFFIXES)).cast("short").alias("suffix"),
+            F.pmod(F.xxhash64(F.expr("substring(word, -3, 3)")), F.lit(SUFFIXES)).cast("byte").alias("suffix"),
         )
     )
     entries = scratch.write(entries, "entries")
@@ -225,34 +320,29 @@ def score_texts(
     ends = blocks.where("ids IS NOT NULL").select(F.explode("held").alias("held")).where("NOT held").count()
     known = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = known["n"] + ends, known["v"] + (ends > 0)
-    top = [r["h"] for r in distinct.where("c > 1").orderBy(F.desc("c"), "h").limit(TOP).collect()]
+    top = [r["h"] for r in distinct.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(TOP).collect()]
     ranks = spark.createDataFrame([(h, 1 + i) for i, h in enumerate(top)], "h long, rank int")
-    unit = F.coalesce("rank", F.when(F.col("c") <= 1, RARE).otherwise(F.col("suffix") + TOP + 1)).cast("int")
+    unit = F.coalesce("rank", F.when(F.col("c") <= 1, RARE).otherwise(F.col("suffix") + TOP + 1)).cast("short")
     placed = entries.join(F.broadcast(ranks), "h", "left").withColumn("unit", unit)
     mass = np.zeros(UNITS)
     for r in placed.where("first").groupBy("unit").agg(F.sum("c").alias("c")).collect():
         mass[r["unit"]] = r["c"]
     mass[END] = ends
-    once = float(mass[RARE])
 
     log_total = np.log10(tokens + types + 1)
-    kinds = "docs array<{}>, held array<boolean>, sizes array<int>, known array<bigint>, base array<double>, inner array<double>, units binary".format(id_type)
+    coded_schema = f"doc_id {id_type}, held boolean, n_tokens long, n_known long, base double, inner double, units binary"
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Per block: units of all tokens (with ends), and the documents' sums that need no context."""
+        """Per block: each document's units (with the end), and its sums that need no context."""
         if not left.num_rows:
-            return kinds_schema.empty_table()
+            return arrow_schema.empty_table()
         size = right.num_rows
-        c, unit = np.zeros(size, np.int64), np.zeros(size, np.uint8)
+        c, unit = np.zeros(size, np.int64), np.zeros(size, np.uint16)
         idx = right.column("idx").to_numpy()
         c[idx], unit[idx] = right.column("c").to_numpy(), right.column("unit").to_numpy()
         ids = np.frombuffer(left.column("ids")[0].as_py(), "<i4")
         sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
-        with np.errstate(divide="ignore"):
-            inner = np.log10(np.maximum(c, 1)) - np.log10(np.maximum(mass[unit], 1))
-        rare = unit == RARE
-        inner[rare & (c > 0)] = np.log10((1 - UNKNOWN_SHARE) / max(1.0, once))
-        inner[rare & (c == 0)] = np.log10(UNKNOWN_SHARE if once else 1.0)
+        inner = word_shares(c, unit, mass)
         base = np.log10(c + 1.0) - log_total
 
         def by_doc(values: np.ndarray) -> np.ndarray:
@@ -263,96 +353,160 @@ def score_texts(
             return out
 
         stop = np.cumsum(sizes)
-        units = np.insert(unit[ids], stop, END)
-        return pa.table(
-            {
-                "docs": left.column("docs"),
-                "held": left.column("held"),
-                "sizes": pa.array([(sizes + 1).astype(np.int32)], pa.list_(pa.int32())),
-                "known": pa.array([by_doc((c > 0)[ids].astype(np.int64)) + (ends > 0)], pa.list_(pa.int64())),
-                "base": pa.array([by_doc(base[ids]) + np.log10(ends + 1.0) - log_total], pa.list_(pa.float64())),
-                "inner": pa.array([by_doc(inner[ids])], pa.list_(pa.float64())),
-                "units": pa.array([units.tobytes()], pa.binary()),
-            }
-        )
+        units = np.insert(unit[ids], stop, END).astype("<u2")
+        ends_at = np.append(0, stop + np.arange(1, len(sizes) + 1))
+        raw = units.tobytes()
+        return pa.Table.from_arrays(
+            [
+                left.column("docs").combine_chunks().flatten(), left.column("held").combine_chunks().flatten(),
+                pa.array(sizes + 1), pa.array(by_doc((c > 0)[ids].astype(np.int64)) + (ends > 0)),
+                pa.array(by_doc(base[ids]) + np.log10(ends + 1.0) - log_total), pa.array(by_doc(inner[ids])),
+                pa.array([raw[2 * i : 2 * j] for i, j in zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)], pa.binary()),
+            ],
+            schema=arrow_schema,
+        )
 
     left = blocks.where("ids IS NOT NULL").select("block", "docs", "held", "sizes", "ids")
     right = placed.select("block", "idx", "c", "unit")
-    kinds_schema = _arrow_schema(spark, kinds)
-    coded = scratch.write(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, kinds), "coded")
+    arrow_schema = _arrow_schema(spark, coded_schema)
+    coded = scratch.write(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, coded_schema), "coded")
     scratch.drop("blocks")
     scratch.drop("entries")
 
-    unigram = (mass + 1e-3) / (mass + 1e-3).sum()
-    model = LogBilinear.untrained(unigram)
-    for k in range(rounds if tokens else 0):
-        model = _train_round(coded, model.flat, unigram, k, rounds, share)
-    final, trained = model.flat, tokens > 0
+    unigram = Unigram(mass)
+    flat = LogBilinear.untrained(unigram).flat
+    if tokens:
+        shards = scratch.write(_shards(coded, max(1, -(-tokens // shard_tokens)), shard_tokens), "shards")
+        for k in range(rounds):
+            flat = _train_round(shards, flat, unigram, k, rounds)
+        scratch.drop("shards")
+    final = spark.sparkContext.broadcast(without_empty(flat, mass))  # of fixed size
+    trained = tokens > 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = LogBilinear(final)
+        net = LogBilinear(final.value)
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i] for n in batch.schema.names}
-                sizes = np.array(row["sizes"].values.to_numpy(), np.int64)
-                units = np.frombuffer(row["units"].as_py(), np.uint8)
-                total = np.array(row["inner"].values.to_numpy())
-                total += np.add.reduceat(token_scores(net, units, sizes), np.cumsum(sizes) - sizes)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row["docs"].values, row["held"].values, pa.array(sizes), row["known"].values,
-                        pa.array(np.full(n, tokens, np.int64)), row["base"].values, pa.array(total if trained else np.zeros(n)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(2).to_numpy()
+            units = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2")
+            total = batch.column(5).to_numpy() + np.add.reduceat(token_scores(net, units, sizes), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), batch.column(2), batch.column(3),
+                    pa.array(np.full(len(sizes), tokens, np.int64)), batch.column(4), pa.array(total if trained else np.zeros(len(sizes))),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return coded.mapInArrow(
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
-def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch: int = 65_536) -> np.ndarray:
-    """log10 p(unit | context) of each token. Each distinct context of a batch is normalised once."""
-    contexts = contexts_of(units, sizes)
-    key = contexts[:, 0].astype(np.int64)
-    for j in range(1, CONTEXT):
-        key = key * UNITS + contexts[:, j]
+def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch: int = 8_192) -> np.ndarray:
+    """log10 p(unit | context) of each token."""
     out = np.empty(len(units))
+    text = Text(units, sizes)
     for at in range(0, len(units), batch):
-        _, first, which = np.unique(key[at : at + batch], return_index=True, return_inverse=True)
-        part, own = contexts[at : at + batch], units[at : at + batch]
-        for lo in range(0, len(first), 4_096):
-            table = net.log_probabilities(part[first[lo : lo + 4_096]])
-            here = np.flatnonzero((which >= lo) & (which < lo + 4_096)) if len(first) > 4_096 else np.arange(len(own))
-            out[at + here] = table[which[here] - lo, own[here]]
+        places = at + np.argsort(units[at : at + batch], kind="stable")  # by unit, hence by class
+        own = units[places].astype(np.int64)
+        kind = own // SLOTS
+        p = net.predict(text.contexts(places))
+        score = log_probability(net.class_scores(p), kind)
+        edges = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
+            k = int(kind[a])
+            score[a:b] += log_probability(net.unit_scores(p[a:b], k), own[a:b] - k * SLOTS)
+        out[places] = score
     return out / np.log(10)
 
 
-def _train_round(coded: DataFrame, flat: np.ndarray, unigram: np.ndarray, k: int, rounds: int, share: float) -> LogBilinear:
+def _shards(coded: DataFrame, count: int, most: int) -> DataFrame:
+    """``shard, sizes, units`` of the training documents, dealt and ordered by their content; a row holds ``most`` tokens or little more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, weight = LogBilinear(flat.copy()), 0
+        held: list[bytes] = []
+        total, shard = 0, None
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(x) // 2 for x in held], "<i4")
+            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["shard", "sizes", "units"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for s, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (s != shard or total >= most * 2):
+                    yield row()
+                    total = 0
+                shard = s
+                held.append(units)
+                total += len(units) // 2
+        if held:
+            yield row()
+
+    order = F.xxhash64("doc_id", "units")
+    rows = coded.where("NOT held").select(F.pmod(order, F.lit(count)).alias("shard"), order.alias("order"), "doc_id", "units")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "order", "doc_id", "units")
+    return dealt.select("shard", "units").mapInArrow(run, "shard long, sizes binary, units binary")
+
+
+def _train_round(shards: DataFrame, flat: np.ndarray, unigram: Unigram, k: int, rounds: int) -> np.ndarray:
+    """The shards' parameters after a round, averaged by their tokens."""
+    start = shards.sparkSession.sparkContext.broadcast(flat)  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(len(flat)), 0
         for batch in batches:
             for i in range(batch.num_rows):
-                sizes = batch.column(1)[i].values.to_numpy().astype(np.int64)
-                learn = ~np.array(batch.column(0)[i].as_py(), bool)
-                units = np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
-                units = units[np.repeat(learn, sizes)]
-                sizes = sizes[learn]
-                if not len(units):
-                    continue
-                rng = np.random.default_rng([k, len(units), int(units[: 1 << 16].sum(dtype=np.int64))])
-                pick = rng.permutation(len(units))[k::rounds]
-                pick = pick[: max(BATCH, int(share * len(pick)))]
-                net.train(contexts_of(units, sizes)[pick], units[pick], unigram, rng, 0.15 / (1 + k))
-                weight += len(pick)
-        values = np.append(net.flat.astype(np.float64) * weight, weight)
+                units = np.frombuffer(batch.column(2)[i].as_py(), "<u2")
+                sizes = np.frombuffer(batch.column(1)[i].as_py(), "<i4").astype(np.int64)
+                pick = np.random.default_rng([1, len(units), len(sizes)]).permutation(np.arange(len(units), dtype=np.int32))[k::rounds]
+                if len(pick):
+                    net = LogBilinear(start.value.copy())
+                    net.train(Text(units, sizes), pick, unigram, np.random.default_rng([2, k, len(units)]), RATE / (1 + k), LAST_RATE / (1 + k))
+                    total += net.flat * np.float64(len(pick))
+                    weight += len(pick)
         if weight:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "v"])
+            yield pieces(TaskContext.get().partitionId() % 32, total, weight)
+
+    def pieces(salt: int, total: np.ndarray, weight: int) -> pa.RecordBatch:
+        values = [total[at : at + PIECE].tobytes() for at in range(0, len(total), PIECE)]
+        n = len(values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, salt, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, weight, np.int64)), pa.array(values, pa.binary())], ["salt", "i", "weight", "v"]
+        )
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = 0
+        for v in rows.column("v").to_pylist():
+            total = total + np.frombuffer(v, np.float64)
+        return pa.table({"salt": rows.column("salt").slice(0, 1), "i": rows.column("i").slice(0, 1), "weight": pa.array([sum(rows.column("weight").to_pylist())], pa.int64()), "v": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "salt int, i int, weight long, v binary"
+    sums = shards.mapInArrow(run, schema).groupBy("i", "salt").applyInArrow(add, schema).groupBy("i").applyInArrow(add, schema)
+    rows = sorted(sums.collect(), key=lambda r: r["i"])  # one row for each piece of the parameters
+    return (np.concatenate([np.frombuffer(r["v"], np.float64) for r in rows]) / rows[0]["weight"]).astype(np.float32)
+
+
+def word_shares(c: np.ndarray, unit: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 p(word | unit) of words with these training counts; the rare unit's words are those seen once, and the unknown."""
+    out = np.log10(np.maximum(c, 1)) - np.log10(np.maximum(mass[unit], 1))
+    rare, once = unit == RARE, mass[RARE]
+    out[rare & (c > 0)] = np.log10((1 - UNKNOWN_SHARE) / max(1.0, once))
+    out[rare & (c == 0)] = np.log10(UNKNOWN_SHARE if once else 1.0)
+    return out
+
 
-    sums = coded.select("held", "sizes", "units").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    values = np.array([r["v"] for r in sums])
-    return LogBilinear((values[:-1] / values[-1]).astype(np.float32)) if len(values) else LogBilinear(flat)
+def without_empty(flat: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The parameters, with probability 0 for units that no word has."""
+    net = LogBilinear(flat.copy())
+    empty = mass == 0
+    empty[RARE] = False
+    net.b[empty] = -1e9
+    net.bc[empty.reshape(CLASSES, SLOTS).all(1)] = -1e9
+    return net.flat
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
