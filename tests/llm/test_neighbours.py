@@ -1,6 +1,6 @@
 import numpy as np
 
-from termloom.llm.neighbours import nearest
+from termloom.llm.neighbours import Setting, footrule, measured_setting, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -61,14 +61,48 @@ def test_invalid_vectors_and_few_rows(spark):
     assert sorted(map(tuple, nearest(twice).collect())) == sorted(map(tuple, nearest(df).collect()))
 
 
-def test_all_of_a_file_that_is_read_gets_an_exact_cosine(spark):
+def test_nothing_is_missed_where_all_files_are_read_without_limit(spark):
     rng = np.random.default_rng(7)
     loose = rng.standard_normal((800, 32))
     hot = rng.standard_normal(32) * 4 + rng.standard_normal((1_200, 32))
     for vectors in (loose, np.concatenate([loose, hot])):
         # Every query reads every file, and files are of hundreds of vectors: nothing may be missed.
         df, n = table(spark, vectors), len(vectors)
-        out = nearest(df, df.where("vec_id % 50 = 0"), pivots=4, post=1, probe=4, chunk=600).collect()
+        out = nearest(df, df.where("vec_id % 50 = 0"), pivots=4, setting=Setting(1, 4, 10_000), chunk=600).collect()
         for q in range(0, n, 50):
             want, _ = brute(vectors, np.arange(n), q, 5)
             assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_recall_of_clusters_and_of_a_hot_cluster(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((40, 24)) * 3
+    clusters = centres[rng.integers(0, 40, 4_000)] + rng.standard_normal((4_000, 24))
+    hot = np.concatenate([rng.standard_normal((2_000, 24)), rng.standard_normal(24) * 4 + rng.standard_normal((2_000, 24))])
+    for vectors in (clusters, hot):
+        df = table(spark, vectors)
+        out = nearest(df, df.where("vec_id % 50 = 0")).collect()
+        hits = sum(len({r["vec_id"] for r in out if r["query_id"] == q} & set(brute(vectors, np.arange(4_000), q, 5)[0])) for q in range(0, 4_000, 50))
+        assert hits / 400 >= 0.9
+
+
+def test_setting_reads_little_of_clustered_data():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((64, 24)) * 5
+    pivots = centres / np.linalg.norm(centres, axis=1)[:, None]
+    near = measured_setting(centres, [c + rng.standard_normal((5, 24)) * 0.3 for c in centres], pivots, 0.95)
+    assert near.post * near.probe <= 4
+    loose = measured_setting(rng.standard_normal((64, 24)), [rng.standard_normal((5, 24)) for _ in range(64)], pivots, 0.95)
+    assert loose.post * loose.probe > 30 and loose.limit > near.limit
+
+
+def test_footrule_is_the_displacement_of_pivots():
+    orders, prefixes = np.array([[2, 0, 1], [4, 3, 2]], np.int16), np.array([[2, 0], [0, 4]], np.int16)
+    assert footrule(orders, prefixes, 5).tolist() == [[0, 1 + 2], [2 + 2, 3 + 1]]
+
+
+def test_queries_that_are_no_rows_of_the_table(spark):
+    df = table(spark, [[1, 0], [0, 1], [0.9, 0.1], [0.1, 0.9]])
+    asked = table(spark, [[0.2, 1.0], [1.0, 0.2], [1, 0], None], [-7, 7, 0, 5])
+    out = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest(df, asked, k=2).collect())
+    assert out == [(-7, 1, 3), (-7, 2, 1), (0, 1, 2), (0, 2, 3), (7, 1, 2), (7, 2, 0)]
