@@ -38,8 +38,8 @@ TOP = UNITS - SLOTS - 1  # words with a unit of their own: all classes but the l
 RARE = UNITS - 1
 SUFFIXES = SLOTS - 1  # the last class: words by suffix, and the rare ones
 LEAST = 8  # occurrences of a word with a unit of its own
-CONTEXT, DIM, NOISE, OWN_NOISE, BATCH = 3, 16, 32, 12, 4_096
-RATE, LAST_RATE = 0.12, 0.08  # of the first round's steps
+CONTEXT, DIM, NOISE, OWN_NOISE, BATCH, RUN = 3, 16, 24, 8, 4_096, 32
+RATE, LAST_RATE = 0.2, 0.1  # of the first round's steps
 UNKNOWN_SHARE = 0.5  # of the last unit; the words seen once share the rest
 PIECE = 1 << 14  # parameters that are summed together
 
@@ -132,7 +132,8 @@ class LogBilinear:
         A batch shares its noise classes, and for each class its noise units.
         """
         log_class, log_unit = np.log(unigram.classes).astype(np.float32), np.log(unigram.units).astype(np.float32).ravel()
-        past = LogBilinear(np.full_like(self.flat, 0.1))
+        start = lambda n: np.full(n, 0.1, np.float32)
+        past_c, past_u, past_bc, past_b, past_r, past_d = (start(n) for n in (CLASSES, UNITS, CLASSES, UNITS, UNITS, CONTEXT))
         for at in range(0, len(pick), BATCH):
             pace = rate + (last - rate) * at / len(pick)
             places = pick[at : at + BATCH]
@@ -151,12 +152,12 @@ class LogBilinear:
             dr += more
             dd = np.stack([np.einsum("ij,ij->j", dr, x) for x in before]) / len(own)
             rows = np.concatenate([dr * self.d[j] for j in range(CONTEXT)])
-            _step(self.qc, past.qc, used, dq, pace)
-            _step(self.bc, past.bc, used, db, pace)
-            _step(self.q, past.q, its, dqu, pace)
-            _step(self.b, past.b, its, dbu, pace)
-            _step(self.d, past.d, np.arange(CONTEXT), dd, pace * 0.1)
-            _step(self.r, past.r, *_sum_by(np.concatenate(ctx), rows), pace)
+            _step(self.qc, past_c, used, dq, pace)
+            _step(self.bc, past_bc, used, db, pace)
+            _step(self.q, past_u, its, dqu, pace)
+            _step(self.b, past_b, its, dbu, pace)
+            _step(self.d, past_d, np.arange(CONTEXT), dd, pace * 0.1)
+            _step(self.r, past_r, *_sum_by(np.concatenate(ctx), rows), pace)
 
 
 def log_probability(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -205,10 +206,18 @@ def _sum_by(units: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _step(value: np.ndarray, past: np.ndarray, used: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One AdaGrad step of the rows ``used``."""
-    total = past[used] + grad * grad
+    """One AdaGrad step of the rows ``used``, with one sum of squares for each row."""
+    total = past[used] + (grad * grad if grad.ndim == 1 else np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1]))
     past[used] = total
-    value[used] -= (rate * grad / np.sqrt(total)).astype(np.float32)
+    pace = np.float32(rate) / np.sqrt(total)
+    value[used] -= pace * grad if grad.ndim == 1 else pace[:, None] * grad
+
+
+def places_of(size: int, seed: int, part: int, parts: int) -> np.ndarray:
+    """One of ``parts`` of the places below ``size``, in a random order of runs: neighbours in the text are read together."""
+    runs = np.random.default_rng(seed).permutation(-(-size // RUN))[part::parts]
+    places = (runs[:, None] * RUN + np.arange(RUN)).ravel().astype(np.int32)
+    return places[places < size]
 
 
 def _blocks(source: DataFrame, folds: int, held_fold: int, block_tokens: int) -> DataFrame:
@@ -253,6 +262,7 @@ def _blocks(source: DataFrame, folds: int, held_fold: int, block_tokens: int) ->
             )
             for kept in (index, docs, held, sizes, ids):
                 kept.clear()
+            pa.default_memory_pool().release_unused()
             block += 1
             total = 0
 
@@ -281,8 +291,8 @@ def score_texts(
     text_col: str = "text",
     folds: int = 7,
     held_fold: int = 2,
-    block_tokens: int = 2_000_000,
-    shard_tokens: int = 6_000_000,
+    block_tokens: int = 1_500_000,
+    shard_tokens: int = 4_000_000,
     rounds: int = 2,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
@@ -320,7 +330,14 @@ def score_texts(
     ends = blocks.where("ids IS NOT NULL").select(F.explode("held").alias("held")).where("NOT held").count()
     known = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = known["n"] + ends, known["v"] + (ends > 0)
-    top = [r["h"] for r in distinct.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "h").limit(TOP).collect()]
+    # Counts in steps of 9 %: only words about as frequent as the last one wanted are sorted.
+    often, step = distinct.where(F.col("c") >= LEAST), F.floor(F.log2("c") * 8)
+    held, least = 0, 0
+    for r in sorted(often.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held, least = held + r["count"], r["step"]
+        if held >= TOP:
+            break
+    top = [r["h"] for r in often.where(step >= least).orderBy(F.desc("c"), "h").limit(TOP).collect()]
     ranks = spark.createDataFrame([(h, 1 + i) for i, h in enumerate(top)], "h long, rank int")
     unit = F.coalesce("rank", F.when(F.col("c") <= 1, RARE).otherwise(F.col("suffix") + TOP + 1)).cast("short")
     placed = entries.join(F.broadcast(ranks), "h", "left").withColumn("unit", unit)
@@ -413,7 +430,7 @@ def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch:
         own = units[places].astype(np.int64)
         kind = own // SLOTS
         p = net.predict(text.contexts(places))
-        score = log_probability(net.class_scores(p), kind)
+        score = np.concatenate([log_probability(net.class_scores(p[i : i + 2_048]), kind[i : i + 2_048]) for i in range(0, len(p), 2_048)])
         edges = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
             k = int(kind[a])
@@ -462,12 +479,15 @@ def _train_round(shards: DataFrame, flat: np.ndarray, unigram: Unigram, k: int,
             for i in range(batch.num_rows):
                 units = np.frombuffer(batch.column(2)[i].as_py(), "<u2")
                 sizes = np.frombuffer(batch.column(1)[i].as_py(), "<i4").astype(np.int64)
-                pick = np.random.default_rng([1, len(units), len(sizes)]).permutation(np.arange(len(units), dtype=np.int32))[k::rounds]
+                pick = places_of(len(units), len(sizes), k, rounds)
                 if len(pick):
                     net = LogBilinear(start.value.copy())
                     net.train(Text(units, sizes), pick, unigram, np.random.default_rng([2, k, len(units)]), RATE / (1 + k), LAST_RATE / (1 + k))
                     total += net.flat * np.float64(len(pick))
                     weight += len(pick)
+                del units, sizes, pick
+            del batch
+            pa.default_memory_pool().release_unused()
         if weight:
             yield pieces(TaskContext.get().partitionId() % 32, total, weight)
 
@@ -487,6 +507,8 @@ def _train_round(shards: DataFrame, flat: np.ndarray, unigram: Unigram, k: int,
     schema = "salt int, i int, weight long, v binary"
     sums = shards.mapInArrow(run, schema).groupBy("i", "salt").applyInArrow(add, schema).groupBy("i").applyInArrow(add, schema)
     rows = sorted(sums.collect(), key=lambda r: r["i"])  # one row for each piece of the parameters
+    if not rows:  # fewer runs than rounds
+        return flat
     return (np.concatenate([np.frombuffer(r["v"], np.float64) for r in rows]) / rows[0]["weight"]).astype(np.float32)
 
 
