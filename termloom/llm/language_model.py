@@ -15,7 +15,7 @@ training tokens and one unknown, by matrix products over whole batches of contex
 3. Training documents are dealt to shards by a hash, in an order of their own, so that
    the model does not depend on how rows were partitioned. Training is data-parallel
    over all shards: each takes NCE steps from the common parameters, which are averaged
-   by a distributed sum, ``rounds`` times; together, the rounds take every token.
+   by a distributed sum (``rounds`` times, each with its part of the tokens).
 4. Every document is scored with the final parameters.
 """
 
@@ -38,8 +38,9 @@ TOP = UNITS - SLOTS - 1  # words with a unit of their own: all classes but the l
 RARE = UNITS - 1
 SUFFIXES = SLOTS - 1  # the last class: words by suffix, and the rare ones
 LEAST = 8  # occurrences of a word with a unit of its own
-CONTEXT, DIM, NOISE, OWN_NOISE, BATCH, RUN = 3, 16, 24, 8, 4_096, 32
-RATE, LAST_RATE = 0.2, 0.1  # of the first round's steps
+CONTEXT, DIM, NOISE, OWN_NOISE, BATCH, RUN = 3, 16, 24, 10, 3_072, 32
+PAST = 0.1  # sum of squares that steps start with
+RATE, LAST_RATE = 0.3, 0.15  # of the first round's steps
 UNKNOWN_SHARE = 0.5  # of the last unit; the words seen once share the rest
 PIECE = 1 << 14  # parameters that are summed together
 
@@ -132,7 +133,7 @@ class LogBilinear:
         A batch shares its noise classes, and for each class its noise units.
         """
         log_class, log_unit = np.log(unigram.classes).astype(np.float32), np.log(unigram.units).astype(np.float32).ravel()
-        start = lambda n: np.full(n, 0.1, np.float32)
+        start = lambda n: np.full(n, PAST, np.float32)
         past_c, past_u, past_bc, past_b, past_r, past_d = (start(n) for n in (CLASSES, UNITS, CLASSES, UNITS, UNITS, CONTEXT))
         for at in range(0, len(pick), BATCH):
             pace = rate + (last - rate) * at / len(pick)
@@ -292,8 +293,8 @@ def score_texts(
     folds: int = 7,
     held_fold: int = 2,
     block_tokens: int = 1_500_000,
-    shard_tokens: int = 4_000_000,
-    rounds: int = 2,
+    shard_tokens: int = 5_000_000,
+    rounds: int = 1,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
