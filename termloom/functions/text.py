@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..types import EMPTY_TOKENS
 
 
+KEPT = "[a-z0-9']"
+
+
 def normalize(line: Column) -> Column:
     """Lower case; each character but a-z, 0-9 and the apostrophe becomes a space."""
     return F.regexp_replace(F.lower(line), "[^a-z0-9']", " ")
@@ -22,9 +25,10 @@ def tokenize(line: Column, empty_token: str = "drop") -> Column:
     """
     if empty_token not in EMPTY_TOKENS:
         raise ValueError(f"empty_token must be one of {', '.join(EMPTY_TOKENS)}")
-    s = normalize(line)
-    none = F.array().cast("array<string>")
+    s = F.lower(line)
+    # The words are the runs of kept characters: found in one pass, without the normalised line.
+    words = F.regexp_extract_all(s, F.lit(f"{KEPT}+"), F.lit(0))
     if empty_token == "drop":
-        s = F.btrim(s)
-        return F.when(s == "", none).otherwise(F.split(s, " +"))
-    return F.when(s == "", F.array(F.lit(""))).when(F.btrim(s) == "", none).otherwise(F.split(F.rtrim(s), " +"))
+        return words
+    begins_removed = F.rlike(s, F.lit(KEPT)) & ~F.rlike(s, F.lit(f"^{KEPT}"))
+    return F.concat(F.when((s == "") | begins_removed, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), words)

@@ -62,17 +62,19 @@ def apriori_index_ngrams(frequent: DataFrame, min_support: int, max_length: int)
     found: list[DataFrame] = []
     index, k = None, 1
     while not max_length or k <= max_length:
+        joins_follow = k >= SCANNED and (not max_length or k < max_length)
         candidates = positions(tokens, k) if k <= SCANNED else join_positions(index)
-        candidates = levels.keep(candidates, f"candidates-{k}")
+        if joins_follow:  # positions are needed again; of other levels only the supports are
+            candidates = levels.keep(candidates, f"candidates-{k}")
         counts = levels.keep(support(candidates).where(F.col("support") >= min_support), f"level-{k}")
         if not counts.limit(1).count():
             break
         found.append(counts)
-        if k >= SCANNED and (not max_length or k < max_length):
+        if joins_follow:
             kept = levels.keep(candidates.join(counts.select("gram"), "gram", "left_semi"), f"index-{k}")
             if index is not None:
                 levels.drop(f"index-{k - 1}")
+            levels.drop(f"candidates-{k}")
             index = kept
-        levels.drop(f"candidates-{k}")
         k += 1
     return _union(found, frequent)

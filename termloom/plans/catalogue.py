@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import cli
 from ..functions import sequences as seq
 from ..operators import apriori_index, closure, decode, dictionary, encode, suffix
-from ..sources.lines import lines_from_table
-from ..types import METHODS, NGramType
+from ..sources import store
+from ..sources.lines import lines_from_files, lines_from_table
+from ..types import METHODS, NGramType, Params
 from .api import ngram_statistics
 
 SUPPORT, LENGTH = 5, 5
@@ -79,8 +82,8 @@ def suffixes_sigma5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode(counts, words).select(F.col("ngram").alias("suffix"), F.col("support").alias("count"))
 
 
-def _ngrams(spark: SparkSession, sf_dir: str, table: str, kind: NGramType, method: str, support: int = SUPPORT, length: int = LENGTH) -> DataFrame:
-    return ngram_statistics(_lines(spark, sf_dir, table), support, length, kind, method)
+def _ngrams(spark: SparkSession, sf_dir: str, table: str, kind: NGramType, method: str, support: int = SUPPORT, length: int = LENGTH, empty_token: str = "drop") -> DataFrame:
+    return ngram_statistics(_lines(spark, sf_dir, table), support, length, kind, method, empty_token)
 
 
 def _one_filter(spark: SparkSession, sf_dir: str, keep: Callable, kind: NGramType) -> DataFrame:
@@ -137,6 +140,94 @@ def scalar_sequences_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def windows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second to fourth word of each line."""
+    words = seq.window(dictionary.tokenize(F.col("line")), 1, 4)
+    return _lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(words, " ").alias("words"))
+
+
+def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text files, which are written from the table first."""
+    at = f"{store.Levels(spark, 'text-scan').path}/lines"
+    _lines(spark, sf_dir).select("line").write.text(at)
+    return lines_from_files(spark, at).groupBy("line").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("line_no") < 0, 1)).alias("misplaced"))
+
+
+def stored_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{store.Levels(spark, 'stored-dictionary').path}/dic"
+    store.write_dictionary(dictionary_ids(spark, sf_dir), at)
+    return store.read_dictionary(spark, at)
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{store.Levels(spark, 'stored-lines').path}/seq"
+    store.write_encoded(encode.collect_lines(encoded_tokens(spark, sf_dir)), at)
+    return store.read_encoded(spark, at).select("doc_id", "line_no", seq.as_text(F.col("tids")).alias("tids"))
+
+
+def stored_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-grams as term ids, stored by length, then decoded."""
+    at = f"{store.Levels(spark, 'stored-ngrams').path}/result"
+    frequent, words = _frequent(spark, sf_dir)
+    grams = suffix.suffix_ngrams(frequent, SUPPORT, LENGTH)
+    store.write_ngrams(grams.select("gram", F.size("gram").alias("n"), "support"), at, by_length=True)
+    return decode.decode(store.read_ngrams(spark, at), words)
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of frequent pairs, stored as posting lists."""
+    at = f"{store.Levels(spark, 'stored-index').path}/index"
+    frequent, words = _frequent(spark, sf_dir)
+    index, counts = apriori_index.keep_frequent(apriori_index.positions(frequent, 2), SUPPORT)
+    store.write_index(apriori_index.posting_lists(index), at)
+    rows = apriori_index.unnest(store.read_index(spark, at))
+    return rows.join(decode.decode(counts, words, keep_gram=True), "gram").select("ngram", "doc_id", "line_no", "pos")
+
+
+def stored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{store.Levels(spark, 'stored-text').path}/text"
+    store.write_text(_ngrams(spark, sf_dir, "documents", NGramType.ALL, "suffix"), at)
+    return store.read_text(spark, at)
+
+
+def overwrite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two results written to one place, n-grams keep the later one and text the earlier one."""
+    at = store.Levels(spark, "overwrite-rules").path
+    lines, refused = _lines(spark, sf_dir, "benchmark"), 0
+    for support in (3, 2):
+        grams = ngram_statistics(lines, support, 3, decoded=False)
+        store.write_ngrams(grams, f"{at}/result")
+        try:
+            store.write_text(ngram_statistics(lines, support, 3), f"{at}/text")
+        except AnalysisException:
+            refused += 1
+    lengths = store.read_ngrams(spark, f"{at}/result").groupBy("n", "support").agg(F.count(F.lit(1)).alias("grams"))
+    text = store.read_text(spark, f"{at}/text").groupBy((F.size(F.split("ngram", " "))).alias("n"), "support").agg(F.count(F.lit(1)).alias("grams"))
+    return lengths.withColumn("sink", F.lit("ngrams")).unionByName(text.withColumn("sink", F.lit("text"))).withColumn("refused", F.lit(refused))
+
+
+def dropped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intermediate tables: one dropped, one kept and read back."""
+    levels = store.Levels(spark, "dropped-tables")
+    counts = dictionary.word_counts(_words(spark, sf_dir))
+    kept = levels.keep(counts, "kept")
+    levels.keep(counts, "dropped")
+    levels.drop("dropped")
+    totals = kept.agg(F.count(F.lit(1)).alias("words"), F.sum("count").alias("tokens"))
+    there = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(levels.holds(t)).alias("there")) for t in ("kept", "dropped")])
+    return totals.select(F.inline(there), "words", "tokens")
+
+
+def convert_compute_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three commands, one after the other, on text files."""
+    at = store.Levels(spark, "commands").path
+    _lines(spark, sf_dir).select("line").write.text(f"{at}/in")
+    cli.convert(spark, f"{at}/in", f"{at}/collection")
+    cli.compute(spark, f"{at}/collection", f"{at}/result", Params(10, LENGTH, NGramType.CLOSED, "suffix"))
+    cli.decode_result(spark, f"{at}/result", f"{at}/collection", f"{at}/statistics")
+    return store.read_text(spark, f"{at}/statistics")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed n-grams by the suffix method."""
     return _ngrams(spark, sf_dir, "documents", NGramType.CLOSED, "suffix")
@@ -145,7 +236,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         tokenize_lines, tokenize_lines_reference, word_counts, dictionary_ids, encoded_tokens, encoded_lines, frequent_terms, frequent_runs,
-        suffixes_sigma5, postings_k2, index_support, scalar_sequences, scalar_sequences_lines,
+        suffixes_sigma5, postings_k2, index_support, scalar_sequences, scalar_sequences_lines, windows_of_lines, text_scan, stored_dictionary,
+        stored_lines, stored_ngrams, stored_index, stored_text, overwrite_rules, dropped_tables, convert_compute_decode,
     )
     found: dict[str, Query] = {f.__name__: f for f in plain}
     for kind in NGramType:
@@ -156,6 +248,12 @@ def queries() -> dict[str, Query]:
         found[f"ngrams_suffix_{kind.name.lower()}"] = partial(_one_filter, keep=closure.suffix_filter, kind=kind)
     found["ngrams_unlimited_small"] = partial(_ngrams, table="benchmark", kind=NGramType.ALL, method="suffix", support=10, length=0)
     found["ngrams_sigma10"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", length=10)
+    found["ngrams_sigma10_apriori_index"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="apriori_index", length=10)
+    for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
+        found[f"ngrams_sigma10_{kind.name.lower()}"] = partial(_ngrams, table="documents", kind=kind, method="suffix", length=10)
+        found[f"ngrams_unlimited_small_{kind.name.lower()}"] = partial(_ngrams, table="benchmark", kind=kind, method="suffix", support=10, length=0)
+    found["ngrams_sigma40"] = partial(_ngrams, table="benchmark", kind=NGramType.ALL, method="suffix", support=2, length=40)
+    found["ngrams_reference_tokens"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", empty_token="reference")
     found["conversation_ngrams"] = partial(_ngrams, table="conversations", kind=NGramType.ALL, method="suffix")
     found["benchmark_ngrams"] = partial(_ngrams, table="benchmark", kind=NGramType.CLOSED, method="naive", support=2)
     found["pages_ngrams"] = partial(_ngrams, table="pages", kind=NGramType.MAXIMAL, method="apriori_scan", support=10)
@@ -165,16 +263,18 @@ def queries() -> dict[str, Query]:
 _EMPTY = "lambda w: w <> ''"
 
 
-def _base(table: str = "documents", ids: str = "doc_id", text: str = "text") -> str:
-    """CTEs ``lines`` and ``toks`` (words of each line)."""
+def _base(table: str = "documents", ids: str = "doc_id", text: str = "text", reference: bool = False) -> str:
+    """CTEs ``lines`` and ``toks`` (words of each line; ``reference``: with the empty word that a plain split leaves)."""
+    s = "regexp_replace(lower(line), '[^a-z0-9'']', ' ', 'g')"
+    words = f"list_filter(string_split({s}, ' '), {_EMPTY})"
+    if reference:
+        words = f"CASE WHEN line = '' THEN [''] WHEN trim({s}) = '' THEN [] WHEN {s} LIKE ' %' THEN list_concat([''], {words}) ELSE {words} END"
     return f"""
         texts AS (SELECT {ids} AS doc_id, regexp_replace({text}, '(\\r\\n|\\r|\\n)$', '') AS t FROM {table} WHERE {text} <> ''),
         split AS (SELECT doc_id, regexp_split_to_array(t, '\\r\\n|\\r|\\n') AS l FROM texts),
         lines AS (SELECT doc_id, unnest(l) AS line, CAST(unnest(range(len(l))) AS INT) AS line_no FROM split),
         toks AS (
-            SELECT doc_id, line_no,
-                   list_filter(string_split(regexp_replace(lower(line), '[^a-z0-9'']', ' ', 'g'), ' '), {_EMPTY}) AS w
-            FROM lines
+            SELECT doc_id, line_no, {words} AS w FROM lines
         )"""
 
 
@@ -254,6 +354,27 @@ def oracle_sql() -> dict[str, str]:
                    a[len(a) - len(b) + 1:len(a)] = b AS tail_is_suffix, a[len(a) - len(p) + 1:len(a)] = p AS p_is_suffix,
                    array_to_string(list_reverse(a), ' ') AS reversed FROM v""",
     }
+    all_grams, small = _ngram_sql(NGramType.ALL), _base("benchmark", "item_id")
+    lengths = "SELECT CAST(len(g) AS INT) AS n, support, count(*) AS grams, '{0}' AS sink, CAST(1 AS INT) AS refused FROM grams WHERE support >= {1} GROUP BY 1, 2"
+    out |= {
+        "windows_of_lines": f"WITH {base} SELECT doc_id, line_no, array_to_string(w[2:4], ' ') AS words FROM toks",
+        "text_scan": f"WITH {base} SELECT line, count(*) AS count, CAST(0 AS BIGINT) AS misplaced FROM lines GROUP BY line",
+        "stored_dictionary": out["dictionary_ids"],
+        "stored_lines": out["encoded_lines"],
+        "stored_ngrams": all_grams,
+        "stored_index": f"WITH {base}, {_WORDS}, {pairs} SELECT ngram, doc_id, line_no, pos FROM pairs JOIN often USING (ngram)",
+        "stored_text": f"SELECT ngram, support FROM ({all_grams})",
+        "overwrite_rules": f"WITH {small}, {_grams(3, 2)} {lengths.format('ngrams', 2)} UNION ALL {lengths.format('text', 3)}",
+        "dropped_tables": f"""WITH {base}, {_WORDS}, totals AS (SELECT count(DISTINCT word) AS words, count(*) AS tokens FROM words)
+            SELECT 'kept' AS "table", true AS there, words, tokens FROM totals UNION ALL SELECT 'dropped', false, words, tokens FROM totals""",
+        "convert_compute_decode": f"SELECT ngram, support FROM ({_ngram_sql(NGramType.CLOSED, support=10)})",
+        "ngrams_sigma10_apriori_index": _ngram_sql(NGramType.ALL, length=10),
+        "ngrams_sigma40": _ngram_sql(NGramType.ALL, base=small, length=40, support=2),
+        "ngrams_reference_tokens": _ngram_sql(NGramType.ALL, base=_base(reference=True)),
+    }
+    for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
+        out[f"ngrams_sigma10_{kind.name.lower()}"] = _ngram_sql(kind, length=10)
+        out[f"ngrams_unlimited_small_{kind.name.lower()}"] = _ngram_sql(kind, base=small, length=10_000, support=10)
     for kind in NGramType:
         for method in METHODS:
             out[f"ngrams_{kind.name.lower()}_{method}"] = _ngram_sql(kind)

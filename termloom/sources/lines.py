@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BREAK = r"\r\n|\r|\n"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, where the table is a scan of fewer partitions than there are cores.
+
+    A small file of one row group would otherwise be worked on by one task. Tables that
+    are themselves computed, and scans of enough partitions, stay as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def lines_from_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,6 +39,9 @@ def lines_from_table(df: DataFrame, id_cols: str | list[str] = "doc_id", text_co
     """``doc_id, line_no, line`` of a table; several identifier columns become a struct. Null texts have no lines."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     doc = F.col(ids[0]) if len(ids) == 1 else F.struct(*ids)
-    text = F.regexp_replace(F.col(text_col), rf"({BREAK})\z", "")
-    found = df.where(F.col(text_col) != "").select(doc.alias("doc_id"), F.posexplode(F.split(text, BREAK)).alias("line_no", "line"))
+    rows = spread(df.where(F.col(text_col) != "").select(doc.alias("doc_id"), F.col(text_col).alias("text")))
+    # A line ends with \n, \r\n or \r; the last one may do without.
+    text = F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r\n?", "\n")).otherwise(F.col("text"))
+    whole = F.expr("if(endswith(text, '\n'), left(text, char_length(text) - 1), text)")
+    found = rows.select("doc_id", text.alias("text")).select("doc_id", F.posexplode(F.split(whole, "\n")).alias("line_no", "line"))
     return found.select("doc_id", F.col("line_no").cast("int"), "line")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -59,17 +60,25 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=TEXT_STATISTICS, sep="\t", quote="", nullValue="\x00")
 
 
-class Levels:
-    """Tables of an iteration, written to the shared folder so that lineage stays short.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary one is used only
-    where that is not set, as in tests.
+    A temporary one is used only where that is not set and all runs on one machine, as in tests.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="termloom-")
+    return found.rstrip("/")
+
+
+class Levels:
+    """Tables of an iteration, written to the shared folder so that lineage stays short."""
 
     def __init__(self, spark: SparkSession, name: str):
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         self.spark = spark
-        self.path = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='termloom-')).rstrip('/')}/termloom/{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
         path, files = self._files(self.path)
         files.mkdirs(path)
         files.deleteOnExit(path)  # results are lazy: their tables must last as long as the application
@@ -82,6 +91,10 @@ class Levels:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
+    def holds(self, table: str) -> bool:
+        path, files = self._files(f"{self.path}/{table}")
+        return files.exists(path)
+
     def drop(self, table: str) -> None:
         path, files = self._files(f"{self.path}/{table}")
         files.delete(path, True)

@@ -20,7 +20,7 @@ def test_every_query_has_sql_with_the_same_columns():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["frequent_runs", "scalar_sequences", "postings_k2", "ngrams_maximal_apriori_index", "benchmark_ngrams"])
+@pytest.mark.parametrize("name", ["frequent_runs", "scalar_sequences", "postings_k2", "ngrams_maximal_apriori_index", "benchmark_ngrams", "stored_index", "overwrite_rules", "dropped_tables", "text_scan", "ngrams_reference_tokens", "windows_of_lines"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "benchmark"):
