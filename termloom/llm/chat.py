@@ -7,10 +7,12 @@ costs), and which empty turns come before it (each costs); the sum is the least
 possible. The repaired turns are then rendered.
 
 The automaton has four states, so a stretch of turns is a 4 x 4 matrix of least costs.
-Turns are range-partitioned by conversation and turn: a long conversation lies in
-several partitions. Each partition reports the matrices of its first and last
-conversation; the driver, with two matrices per partition, chooses the states where
-partitions meet; then each partition repairs its turns between them.
+Turns are range-partitioned by conversation and turn, over as many partitions as the
+cluster works on, and cut into parts of bounded size: a long conversation lies in
+several parts. Each part reports the matrices of its first and last conversation.
+Reports are combined by partition; the driver, with two matrices for each, chooses the
+states where partitions meet; then each partition those where its parts meet, and each
+part repairs its turns between them.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scratch import Scratch, small_batches
 
@@ -140,38 +146,69 @@ def _segments(keys: list) -> list[tuple[int, int]]:
     return list(zip(bounds[:-1], bounds[1:], strict=True))
 
 
-def _meet(rows: list) -> dict[int, dict[int, tuple[int, int | None, int]]]:
-    """Per partition and place (0: first segment, 1: last): first state, last state (None: the end is here), turns before."""
-    out: dict[int, dict[int, tuple[int, int | None, int]]] = {}
-    chain: list = []
-
-    def close() -> None:
-        if len(chain) > 1:
-            forward = [np.array([0, FAR, FAR, FAR], np.int64)]
-            for x in chain:
-                forward.append(np.minimum((forward[-1][:, None] + np.array(x["matrix"]).reshape(4, 4)).min(0), FAR))
-            state = int((forward[-1] + FINAL).argmin())
-            states = [state]
-            for f, x in zip(forward[-2::-1], chain[::-1], strict=True):
-                state = int((f + np.array(x["matrix"]).reshape(4, 4)[:, state]).argmin())
-                states.append(state)
-            states.reverse()
-            turns = 0
-            for i, x in enumerate(chain):
-                end = None if i == len(chain) - 1 else states[i + 1]
-                for place in x["places"]:
-                    out.setdefault(x["part"], {})[place] = (states[i], end, turns)
-                turns += x["turns"]
-        chain.clear()
-
+def _chains(rows: list[dict]) -> list[list[dict]]:
+    """Reports in order, those of one conversation together. A report: part, places (0: first segment, 1: last), conv, turns, matrix."""
+    out: list[list[dict]] = []
     for x in sorted(rows, key=lambda r: (r["part"], min(r["places"]))):
-        if chain and (0 not in x["places"] or chain[-1]["conv"] != x["conv"]):
-            close()
-        chain.append(x)
-    close()
+        if out and 0 in x["places"] and out[-1][-1]["conv"] == x["conv"]:
+            out[-1].append(x)
+        else:
+            out.append([x])
     return out
 
 
+def _whole(chain: list[dict]) -> dict:
+    """Conversation, turns and matrix of a chain."""
+    m = np.array(chain[0]["matrix"], np.int64).reshape(4, 4)
+    for x in chain[1:]:
+        m = combine(m, np.array(x["matrix"], np.int64).reshape(4, 4))
+    return {"conv": chain[0]["conv"], "turns": sum(x["turns"] for x in chain), "matrix": m.ravel().tolist()}
+
+
+def _settle(chain: list[dict], first: int = START, last: int | None = None, turns: int = 0) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """Part, place, state before, state after (None: the end is here) and turns before, of each report of a chain."""
+    matrices = [np.array(x["matrix"], np.int64).reshape(4, 4) for x in chain]
+    forward = [np.full(4, FAR, np.int64)]
+    forward[0][first] = 0
+    for m in matrices:
+        forward.append(np.minimum((forward[-1][:, None] + m).min(0), FAR))
+    states = [int((forward[-1] + FINAL).argmin()) if last is None else last]
+    for f, m in zip(forward[-2::-1], matrices[::-1], strict=True):
+        states.append(int((f + m[:, states[-1]]).argmin()))
+    states.reverse()
+    for i, x in enumerate(chain):
+        for place in x["places"]:
+            yield x["part"], place, states[i], last if i == len(chain) - 1 else states[i + 1], turns
+        turns += x["turns"]
+
+
+def _meet(rows: list[dict], known: dict[int, tuple[int, int | None, int]] | None = None) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """Where parts meet; ``known``: the same for all of them together, for what the first (0) and the last chain (1) have outside."""
+    found = _chains(rows)
+    for i, chain in enumerate(found):
+        outer = (known or {}).get(0 if i == 0 else 1 if i == len(found) - 1 else -1)
+        if outer or len(chain) > 1:
+            yield from _settle(chain, *(outer or ()))
+
+
+def _cut_into_parts(sorted_rows: DataFrame, part_bytes: int) -> DataFrame:
+    """Rows with ``part`` (partition and piece of it) and ``place`` in the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, size, place = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 40)
+            part = (partition << 32) + (ends - 1) // part_bytes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part), pa.array(np.arange(place, place + n))], [*batch.schema.names, "part", "place"])
+            size, place = int(ends[-1]), place + n
+
+    schema = T.StructType([*sorted_rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("place", T.LongType())])
+    return sorted_rows.mapInArrow(run, schema)
+
+
 def format_chats(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_bytes: int = 16 << 20
 ) -> DataFrame:
@@ -193,10 +230,9 @@ def format_chats(
     size = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 40)).first()[0] or 0
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("tie")]
     tied = source.withColumn("tie", F.xxhash64("text"))
-    dealt = tied.repartitionByRange(max(1, -(-int(size) // part_bytes)), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    place = F.monotonically_increasing_id()
-    table = dealt.drop("tie").withColumn("place", place).withColumn("part", F.shiftright("place", 33).cast("int"))
-    table = scratch.write(table, "turns")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = tied.repartitionByRange(max(1, min(tasks, -(-int(size) // part_bytes))), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    table = scratch.write(_cut_into_parts(dealt.drop("tie"), part_bytes), "turns")
 
     def report(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
@@ -204,17 +240,38 @@ def format_chats(
         cuts = _segments(conv)
         ends = [(cuts[0], [0, 1])] if len(cuts) == 1 else [(cuts[0], [0]), (cuts[-1], [1])]
         out = [(rows.column("part")[0].as_py(), p, repr(conv[a]), b - a, stretch(roles[a:b]).ravel().tolist()) for (a, b), p in ends]
-        kinds = [pa.int32(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.list_(pa.int64())]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("part", "places", "conv", "turns", "matrix"), zip(*out, strict=True), kinds, strict=True)})
 
-    reports = table.select("part", "place", "conv_id", "role").groupBy("part").applyInArrow(report, "part int, places array<int>, conv string, turns long, matrix array<long>")
-    meet = _meet(reports.collect())  # two rows per partition
+    shape = "part long, places array<int>, conv string, turns long, matrix array<long>"
+    reports = scratch.write(table.select("part", "place", "conv_id", "role").groupBy("part").applyInArrow(report, shape), "reports")
+    by_partition = reports.withColumn("partition", F.shiftright("part", 32))
+
+    def outer(rows: pa.Table) -> pa.Table:
+        found = _chains(rows.to_pylist())
+        ends = [(found[0], [0, 1])] if len(found) == 1 else [(found[0], [0]), (found[-1], [1])]
+        out = [{"part": rows.column("partition")[0].as_py(), "places": p} | _whole(c) for c, p in ends]
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int64()), ("places", pa.list_(pa.int32())), ("conv", pa.string()), ("turns", pa.int64()), ("matrix", pa.list_(pa.int64()))]))
+
+    known: dict[int, dict[int, tuple[int, int | None, int]]] = {}
+    for part, place, *bounds in _meet([r.asDict() for r in by_partition.groupBy("partition").applyInArrow(outer, shape).collect()]):  # two rows per partition
+        known.setdefault(part, {})[place] = tuple(bounds)
+    fixed = spark.sparkContext.broadcast(known)
+
+    def inner(rows: pa.Table) -> pa.Table:
+        found = list(_meet(rows.to_pylist(), fixed.value.get(rows.column("partition")[0].as_py())))
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("part", "place", "first", "last", "turns"), columns, strict=True)})
+
+    meet = by_partition.groupBy("partition").applyInArrow(inner, "part long, place long, first long, last long, turns long")
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, met: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return arrow_schema.empty_table()
         rows = rows.sort_by("place")
         conv, texts = rows.column("conv_id").to_pylist(), rows.column("text").to_pylist()
         roles = [_role(r) for r in rows.column("role").to_pylist()]
-        known = meet.get(rows.column("part")[0].as_py(), {})
+        known = {r["place"]: (r["first"], r["last"], r["turns"]) for r in met.to_pylist()}
         cuts = _segments(conv)
         out, position = [], []
         for i, (a, b) in enumerate(cuts):
@@ -233,4 +290,5 @@ def format_chats(
         return pa.table({"conv_id": rows.column("conv_id"), "position": pa.array(position, pa.int64()), **kept, **made})
 
     schema = f"conv_id {conv_type}, position long, turn {turn_type}, role string, new_role string, action string, inserted array<string>, cost long, rendered string"
-    return table.groupBy("part").applyInArrow(run, schema)
+    arrow_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return table.groupBy("part").cogroup(meet.groupBy("part")).applyInArrow(run, schema)
