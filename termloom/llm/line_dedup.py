@@ -96,6 +96,13 @@ class LevelledRuns:
                     self.scratch.drop(name)
                 self.levels[i] = []
 
+    def close(self) -> None:
+        """Drop the tables, when totals are no longer needed."""
+        for name in (name for level in self.levels for name in level):
+            self.spark.sql(f"DROP TABLE {name}")
+            self.scratch.drop(name)
+        self.levels, self.repeats = [[]], []
+
     def totals(self) -> DataFrame:
         """``hash, docs, max_doc`` over all batches."""
         tables = self.runs() + self.repeats
@@ -130,13 +137,14 @@ def line_dedup(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scratch = Scratch(spark, "line-dedup")
     lines = scratch.write(
-        candidate_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "lines"
+        candidate_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).sortWithinPartitions("batch"), "lines"
     )
     state = LevelledRuns(spark, fanout)
     for b in range(batches):
         holders = lines.where(F.col("batch") == b).select("hash", "doc_id").distinct()
         state.add(holders.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("max_doc")))
     frequent = scratch.write(state.totals().where(F.col("docs") >= min_docs), "frequent")
+    state.close()
 
     hot_from = max(hot_docs, lines.count() // HOT_LINES)
     doomed = F.col("doc_id").isNull() | (F.col("doc_id") != F.col("max_doc"))
