@@ -118,7 +118,9 @@ def _learn(source: DataFrame, known: DataFrame, names: list[str], per_domain: in
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary()), pa.array(dense, pa.binary())], ["domain", "found", "dense"])
 
     # At most per_domain rows of each domain; a row is at most 2 bytes for each of the 65,536 buckets.
-    rows = source.join(F.broadcast(picked), "doc_id").select("text", "domain").mapInArrow(run, "domain string, found binary, dense binary").collect()
+    # Of rows that share an identifier, the first text is learned from.
+    texts = source.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "domain").mapInArrow(run, "domain string, found binary, dense binary").collect()
     if not rows:
         return None
     rows = sorted((r["domain"], bytes(r["found"]), bytes(r["dense"])) for r in rows)
@@ -236,7 +238,8 @@ def mix(
     their posterior. Rows that repeat an identifier are documents of their own, with equal
     copies if their texts are equal. A null identifier is a valid one. Labels that are null
     or name no target are left out; of several labels of a document the first in
-    alphabetical order counts. An empty table gives an empty result. Other columns are not
+    alphabetical order counts, and of several rows of a labelled identifier the first text.
+    Tokens are words between white space. An empty table gives an empty result. Other columns are not
     read unless carried.
     """
     names = sorted(targets)

@@ -12,6 +12,7 @@ its rows are weighted back to the labels' own frequencies. Scoring reads every b
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,12 +183,14 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, max_chunks: int,
             for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 found = cut(text.encode("utf-8", "replace"))
                 if len(found) > max_chunks:
-                    found = found[np.sort(np.random.default_rng(abs(hash(i))).choice(len(found), max_chunks, replace=False))]
+                    found = found[np.sort(np.random.default_rng(zlib.crc32(str(i).encode())).choice(len(found), max_chunks, replace=False))]
                 out.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.binary())], ["label", "chunks"])
 
     # Two sorts of at most per_class rows: the ids fit a broadcast by construction.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").mapInArrow(chunks, "label int, chunks binary").collect()
+    # Of rows that share an identifier, the first text is learned from: what is collected is bounded by per_class, too.
+    known = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = known.select("doc_id", "text", "label").mapInArrow(chunks, "label int, chunks binary").collect()
     rows = sorted((r["label"], bytes(r["chunks"])) for r in rows)
     total = sum(counts.get(v, 0) for v in (0, 1))
     return [
@@ -232,7 +235,8 @@ def score_quality(
 
     Null texts count as empty; empty texts get the score of a chunk without bytes.
     Labels that are null or have a null identifier are left out; of several labels of a
-    document the largest counts. Null identifiers are scored, and are not held out.
+    document the largest counts, and of several rows of an identifier the first text in
+    alphabetical order is learned from. Null identifiers are scored, and are not held out.
     Repeated rows are scored one by one; an empty table gives an empty result. Other
     columns are not read unless carried.
     """
