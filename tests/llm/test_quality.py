@@ -88,3 +88,27 @@ def test_score_does_not_depend_on_the_batch():
     together = net.score(texts)
     assert np.allclose(together, [net.score([t])[0] for t in texts], atol=1e-6)
     assert np.allclose(together, net.score(texts, budget=3), atol=1e-6)
+
+
+def test_network_by_plain_loops():
+    """Every layer, computed chunk by chunk and place by place."""
+    from termloom.llm.quality import CHUNK, FILTERS, HIDDEN, STEP, WIDE, ByteNet, cut
+
+    net = ByteNet.untrained(np.random.default_rng(5))
+    w = net.w
+    texts = [b"", b"short text", bytes(np.random.default_rng(6).integers(1, 256, 1_500, dtype=np.uint8))]
+    got = net.score(texts, budget=2)
+    for text, score in zip(texts, got, strict=True):
+        hidden = []
+        for chunk in cut(text):
+            vectors = [w["e"][b] for b in chunk]
+            responses = []
+            for at in range(0, CHUNK - STEP, STEP):
+                first, second = np.concatenate(vectors[at : at + STEP]), np.concatenate(vectors[at + STEP : at + 2 * STEP])
+                assert len(first) == WIDE
+                responses.append([max(0.0, first @ w["w1"][:, f] + second @ w["w2"][:, f] + w["b"][f]) for f in range(FILTERS)])
+            used = sum(b != 0 for b in chunk)
+            pooled = [*np.max(responses, 0), *(np.sum(responses, 0) / max(1, used / STEP)), used / CHUNK]
+            hidden.append([np.tanh(sum(p * v for p, v in zip(pooled, w["v"][:, h], strict=True)) + w["c"][h]) for h in range(HIDDEN)])
+        both = [*np.mean(hidden, 0), *np.max(hidden, 0)]
+        assert abs(1 / (1 + np.exp(-(np.dot(both, w["o"][:, 0]) + w["d"][0]))) - score) < 1e-4
