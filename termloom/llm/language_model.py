@@ -14,8 +14,9 @@ training tokens and one unknown, by matrix products over whole batches of contex
    vocabulary is never gathered or broadcast; only unit tables of fixed size are.
 3. Training documents are dealt to shards by a hash, in an order of their own, so that
    the model does not depend on how rows were partitioned. Training is data-parallel
-   over all shards: each takes NCE steps from the common parameters, which are averaged
-   by a distributed sum (``rounds`` times, each with its part of the tokens).
+   over all shards, where the shuffle leaves them: each takes NCE steps from the common
+   parameters, which are averaged by a distributed sum (``rounds`` times, each with its
+   part of the tokens).
 4. Every document is scored with the final parameters.
 """
 
@@ -43,6 +44,7 @@ PAST = 0.1  # sum of squares that steps start with
 RATE, LAST_RATE = 0.3, 0.15  # of the first round's steps
 UNKNOWN_SHARE = 0.5  # of the last unit; the words seen once share the rest
 PIECE = 1 << 14  # parameters that are summed together
+ROW_TOKENS = 100_000  # of a block's documents in one row, or one document's
 
 
 class Unigram:
@@ -222,7 +224,7 @@ def places_of(size: int, seed: int, part: int, parts: int) -> np.ndarray:
 
 
 def _blocks(source: DataFrame, folds: int, held_fold: int, block_tokens: int) -> DataFrame:
-    """Rows with ``idx``: a block's dictionary; rows with ``ids``: its documents."""
+    """Rows with ``idx``: a block's dictionary; rows with ``ids``: some of its documents."""
     import zlib
 
     id_type = source.schema[0].dataType.simpleString()
@@ -253,14 +255,17 @@ def _blocks(source: DataFrame, folds: int, held_fold: int, block_tokens: int) ->
                     + [pa.nulls(n, k) for k in (pa.list_(id_kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())],
                     names,
                 )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
-                    pa.array([docs], pa.list_(id_kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([np.concatenate(ids).astype("<i4").tobytes()], pa.binary()),
-                ],
-                names,
-            )
+            stops = np.cumsum(np.array(sizes) + 1)
+            edges = [0, *(np.flatnonzero(np.diff(stops // ROW_TOKENS)) + 1).tolist(), len(docs)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
+                        pa.array([docs[i:j]], pa.list_(id_kind)), pa.array([held[i:j]], pa.list_(pa.bool_())), pa.array([sizes[i:j]], pa.list_(pa.int32())),
+                        pa.array([np.concatenate(ids[i:j]).astype("<i4").tobytes()], pa.binary()),
+                    ],
+                    names,
+                )
             for kept in (index, docs, held, sizes, ids):
                 kept.clear()
             pa.default_memory_pool().release_unused()
@@ -358,31 +363,35 @@ def score_texts(
         c, unit = np.zeros(size, np.int64), np.zeros(size, np.uint16)
         idx = right.column("idx").to_numpy()
         c[idx], unit[idx] = right.column("c").to_numpy(), right.column("unit").to_numpy()
-        ids = np.frombuffer(left.column("ids")[0].as_py(), "<i4")
-        sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
         inner = word_shares(c, unit, mass)
         base = np.log10(c + 1.0) - log_total
-
-        def by_doc(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(sizes), values.dtype)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full])
-            return out
-
-        stop = np.cumsum(sizes)
-        units = np.insert(unit[ids], stop, END).astype("<u2")
-        ends_at = np.append(0, stop + np.arange(1, len(sizes) + 1))
-        raw = units.tobytes()
-        return pa.Table.from_arrays(
-            [
-                left.column("docs").combine_chunks().flatten(), left.column("held").combine_chunks().flatten(),
-                pa.array(sizes + 1), pa.array(by_doc((c > 0)[ids].astype(np.int64)) + (ends > 0)),
-                pa.array(by_doc(base[ids]) + np.log10(ends + 1.0) - log_total), pa.array(by_doc(inner[ids])),
-                pa.array([raw[2 * i : 2 * j] for i, j in zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)], pa.binary()),
-            ],
-            schema=arrow_schema,
-        )
+        made = []
+        for row in range(left.num_rows):
+            ids = np.frombuffer(left.column("ids")[row].as_py(), "<i4")
+            sizes = np.array(left.column("sizes")[row].as_py(), np.int64)
+            stop = np.cumsum(sizes)
+
+            def by_doc(values: np.ndarray, sizes: np.ndarray = sizes, stop: np.ndarray = stop) -> np.ndarray:
+                out = np.zeros(len(sizes), values.dtype)
+                full = np.flatnonzero(sizes)
+                if len(full):
+                    out[full] = np.add.reduceat(values, (stop - sizes)[full])
+                return out
+
+            raw = np.insert(unit[ids], stop, END).astype("<u2").tobytes()
+            ends_at = np.append(0, stop + np.arange(1, len(sizes) + 1))
+            made.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        left.column("docs")[row].values, left.column("held")[row].values,
+                        pa.array(sizes + 1), pa.array(by_doc((c > 0)[ids].astype(np.int64)) + (ends > 0)),
+                        pa.array(by_doc(base[ids]) + np.log10(ends + 1.0) - log_total), pa.array(by_doc(inner[ids])),
+                        pa.array([raw[2 * i : 2 * j] for i, j in zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)], pa.binary()),
+                    ],
+                    schema=arrow_schema,
+                )
+            )
+        return pa.Table.from_batches(made, arrow_schema)
 
     left = blocks.where("ids IS NOT NULL").select("block", "docs", "held", "sizes", "ids")
     right = placed.select("block", "idx", "c", "unit")
@@ -394,10 +403,9 @@ def score_texts(
     unigram = Unigram(mass)
     flat = LogBilinear.untrained(unigram).flat
     if tokens:
-        shards = scratch.write(_shards(coded, max(1, -(-tokens // shard_tokens)), shard_tokens), "shards")
+        shards = _shards(coded, max(1, -(-tokens // shard_tokens)))
         for k in range(rounds):
-            flat = _train_round(shards, flat, unigram, k, rounds)
-        scratch.drop("shards")
+            flat = _train_round(shards, shard_tokens * 2, flat, unigram, k, rounds)
     final = spark.sparkContext.broadcast(without_empty(flat, mass))  # of fixed size
     trained = tokens > 0
 
@@ -440,57 +448,48 @@ def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch:
     return out / np.log(10)
 
 
-def _shards(coded: DataFrame, count: int, most: int) -> DataFrame:
-    """``shard, sizes, units`` of the training documents, dealt and ordered by their content; a row holds ``most`` tokens or little more."""
+def _shards(coded: DataFrame, count: int) -> DataFrame:
+    """``shard, units`` of the training documents, dealt and ordered by their content."""
+    order = F.xxhash64("doc_id", "units")
+    rows = coded.where("NOT held").select(F.pmod(order, F.lit(count)).alias("shard"), order.alias("order"), "doc_id", "units")
+    return rows.repartition("shard").sortWithinPartitions("shard", "order", "doc_id", "units").select("shard", "units")
+
+
+def _train_round(shards: DataFrame, most: int, flat: np.ndarray, unigram: Unigram, k: int, rounds: int) -> np.ndarray:
+    """The shards' parameters after a round, averaged by their tokens; a shard of ``most`` tokens or more is trained in parts."""
+    start = shards.sparkSession.sparkContext.broadcast(flat)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, weight = np.zeros(len(flat)), 0
         held: list[bytes] = []
         total, shard = 0, None
 
-        def row() -> pa.RecordBatch:
-            sizes = np.array([len(x) // 2 for x in held], "<i4")
-            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())], ["shard", "sizes", "units"])
+        def train() -> None:
+            nonlocal sums, weight, total
+            sizes = np.array([len(x) // 2 for x in held], np.int64)
+            units = np.frombuffer(b"".join(held), "<u2")
             held.clear()
-            return out
+            total = 0
+            pick = places_of(len(units), len(sizes), k, rounds)
+            if len(pick):
+                net = LogBilinear(start.value.copy())
+                net.train(Text(units, sizes), pick, unigram, np.random.default_rng([2, k, len(units)]), RATE / (1 + k), LAST_RATE / (1 + k))
+                sums += net.flat * np.float64(len(pick))
+                weight += len(pick)
 
         for batch in batches:
             for s, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and (s != shard or total >= most * 2):
-                    yield row()
-                    total = 0
+                if held and (s != shard or total >= most):
+                    train()
                 shard = s
                 held.append(units)
                 total += len(units) // 2
-        if held:
-            yield row()
-
-    order = F.xxhash64("doc_id", "units")
-    rows = coded.where("NOT held").select(F.pmod(order, F.lit(count)).alias("shard"), order.alias("order"), "doc_id", "units")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "order", "doc_id", "units")
-    return dealt.select("shard", "units").mapInArrow(run, "shard long, sizes binary, units binary")
-
-
-def _train_round(shards: DataFrame, flat: np.ndarray, unigram: Unigram, k: int, rounds: int) -> np.ndarray:
-    """The shards' parameters after a round, averaged by their tokens."""
-    start = shards.sparkSession.sparkContext.broadcast(flat)  # of fixed size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(len(flat)), 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                units = np.frombuffer(batch.column(2)[i].as_py(), "<u2")
-                sizes = np.frombuffer(batch.column(1)[i].as_py(), "<i4").astype(np.int64)
-                pick = places_of(len(units), len(sizes), k, rounds)
-                if len(pick):
-                    net = LogBilinear(start.value.copy())
-                    net.train(Text(units, sizes), pick, unigram, np.random.default_rng([2, k, len(units)]), RATE / (1 + k), LAST_RATE / (1 + k))
-                    total += net.flat * np.float64(len(pick))
-                    weight += len(pick)
-                del units, sizes, pick
             del batch
             pa.default_memory_pool().release_unused()
+        if held:
+            train()
         if weight:
-            yield pieces(TaskContext.get().partitionId() % 32, total, weight)
+            yield pieces(TaskContext.get().partitionId() % 32, sums, weight)
 
     def pieces(salt: int, total: np.ndarray, weight: int) -> pa.RecordBatch:
         values = [total[at : at + PIECE].tobytes() for at in range(0, len(total), PIECE)]
