@@ -163,11 +163,11 @@ class LogBilinear:
             _step(self.r, past_r, *_sum_by(np.concatenate(ctx), rows), pace)
 
 
-def log_probability(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each row's softmax at the chosen column."""
+def log_probability(scores: np.ndarray, chosen: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of each row's softmax at the chosen column; ``room``, as many rows or more, is overwritten."""
     own = scores[np.arange(len(scores)), chosen]
     with np.errstate(over="ignore"):
-        z = np.exp(scores).sum(1)
+        z = np.exp(scores, out=None if room is None else room[: len(scores)]).sum(1)
     if not (z.min() > 1e-30 and np.isfinite(z).all()):
         top = scores.max(1)
         own, z = own - top, np.exp(scores - top[:, None]).sum(1)
@@ -430,20 +430,26 @@ def score_texts(
     )
 
 
-def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch: int = 8_192) -> np.ndarray:
-    """log10 p(unit | context) of each token."""
+def token_scores(net: LogBilinear, units: np.ndarray, sizes: np.ndarray, batch: int = 16_384, rows: int = 1_024) -> np.ndarray:
+    """log10 p(unit | context) of each token; scores of ``rows`` contexts at a time stay in the processor's cache."""
     out = np.empty(len(units))
     text = Text(units, sizes)
+    room = np.empty((rows, max(CLASSES, SLOTS)), net.flat.dtype)
     for at in range(0, len(units), batch):
         places = at + np.argsort(units[at : at + batch], kind="stable")  # by unit, hence by class
         own = units[places].astype(np.int64)
         kind = own // SLOTS
         p = net.predict(text.contexts(places))
-        score = np.concatenate([log_probability(net.class_scores(p[i : i + 2_048]), kind[i : i + 2_048]) for i in range(0, len(p), 2_048)])
+        score = np.empty(len(p))
+        for i in range(0, len(p), rows):
+            j = min(len(p), i + rows)
+            score[i:j] = log_probability(net.class_scores(p[i:j]), kind[i:j], room[:, :CLASSES])
         edges = np.flatnonzero(np.append(True, kind[1:] != kind[:-1]))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(own)], strict=True):
             k = int(kind[a])
-            score[a:b] += log_probability(net.unit_scores(p[a:b], k), own[a:b] - k * SLOTS)
+            for i in range(a, b, rows):
+                j = min(b, i + rows)
+                score[i:j] += log_probability(net.unit_scores(p[i:j], k), own[i:j] - k * SLOTS, room[:, :SLOTS])
         out[places] = score
     return out / np.log(10)
 
