@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import subsequences
 from .encode import frequent_runs
 
 
 def naive_ngrams(frequent: DataFrame, min_support: int, max_length: int) -> DataFrame:
     """``gram, support``; partial sums are formed before the shuffle."""
-    grams = frequent_runs(frequent).select(F.explode(subsequences(F.col("tids"), max_length)).alias("gram"))
+    runs = frequent_runs(frequent).select("tids", "len", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("b"))
+    rest = F.col("len") - F.col("b") + 1
+    # One n-gram a row at once: no array holds all those of a long run.
+    ends = runs.select("tids", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_length), rest) if max_length else rest)).alias("n"))
+    grams = ends.select(F.slice("tids", F.col("b"), F.col("n")).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)

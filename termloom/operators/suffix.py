@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from .encode import LINE, frequent_runs
 
 #: From this length on (and without a limit) prefixes are not materialised.
 LONG = 32
+#: Terms that tell ranges of suffixes apart.
+DEALT = 16
+#: Terms of the n-grams that are put out at once.
+BATCH_CELLS = 1 << 18
 
 
 def suffixes(frequent: DataFrame, max_length: int) -> DataFrame:
@@ -47,52 +52,72 @@ def suffix_ngrams(frequent: DataFrame, min_support: int, max_length: int) -> Dat
 def stack_ngrams(counts: DataFrame, min_support: int) -> DataFrame:
     """``gram, support`` from counted suffixes, in one pass over sorted suffixes.
 
-    Suffixes are dealt by their first two terms, so that a frequent first term does not
-    fill one task, and sorted in descending order; a stack holds the current path and its
-    supports. Single terms, whose suffixes lie in several tasks, are summed separately.
+    Suffixes are cut into ranges by their first ``DEALT`` terms and sorted. A stack holds
+    the current suffix as segments: the prefixes that end in one segment have one support.
+    Work is a comparison for each suffix, and the output. Only n-grams shorter than
+    ``DEALT`` can lie in several ranges; they begin the first or the last suffix of a task,
+    which gives their part whatever its support.
     """
-    two = F.slice("suffix", 1, 2)
-    dealt = counts.where(F.size("suffix") > 1).repartition(two).sortWithinPartitions(F.desc("suffix"))
+    dealt = counts.repartitionByRange(F.slice("suffix", 1, DEALT)).sortWithinPartitions(F.desc("suffix"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: list[int] = []
-        sums: list[int] = []
-        grams: list[list[int]] = []
+        grams: list[np.ndarray] = []
         supports: list[int] = []
+        cells = 0
+        ends: list[int] = []  # of the segments of ``last``
+        sums: list[int] = []
+        last = np.empty(0, np.int32)
+        of_first: int | None = None  # how much of ``last`` begins the task's first suffix
+
+        def give(begin: int, end: int, support: int, split: int) -> Iterator[pa.RecordBatch]:
+            """The prefixes of ``last`` longer than ``begin`` up to ``end``; up to ``split`` with any support."""
+            nonlocal cells
+            for n in range(begin + 1, (end if support >= min_support else min(end, split)) + 1):
+                grams.append(last[:n])
+                supports.append(support)
+                cells += n
+                if cells >= BATCH_CELLS:
+                    yield out()
 
-        def pop(to: int) -> None:
-            while len(path) > to:
-                support = sums.pop()
-                if len(path) > 1 and support >= min_support:
-                    grams.append(path.copy())
-                    supports.append(support)
-                path.pop()
-                if sums:
+        def pop(to: int, split: int) -> Iterator[pa.RecordBatch]:
+            while ends and ends[-1] > to:
+                end, support = ends.pop(), sums.pop()
+                below = ends[-1] if ends else 0
+                yield from give(max(below, to), end, support, min(split, DEALT - 1))
+                if below < to:
+                    ends.append(to)
+                    sums.append(support)
+                elif ends:
                     sums[-1] += support
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(grams, pa.list_(pa.int32())), pa.array(supports, pa.int64())], ["gram", "support"])
+            nonlocal cells
+            edges = np.cumsum([0, *map(len, grams)], dtype=np.int32)
+            values = np.concatenate(grams) if grams else np.empty(0, np.int32)
+            made = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edges), pa.array(values, pa.int32())), pa.array(supports, pa.int64())], ["gram", "support"])
             grams.clear()
             supports.clear()
+            cells = 0
             return made
 
         for batch in batches:
-            for suffix, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shared = 0
-                for x, y in zip(path, suffix, strict=False):
-                    if x != y:
-                        break
-                    shared += 1
-                pop(shared)
-                for term in suffix[shared:]:
-                    path.append(term)
-                    sums.append(0)
-                sums[-1] += count
-                if len(grams) >= 4_096:
-                    yield out()
-        pop(0)
+            lists = batch.column(0)
+            values, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, count in enumerate(batch.column(1).to_pylist()):
+                suffix = values[edges[i] : edges[i + 1]]
+                least = min(len(last), len(suffix))
+                differ = last[:least] != suffix[:least]
+                shared = int(differ.argmax()) if differ.any() else least
+                yield from pop(shared, of_first or 0)
+                of_first = len(suffix) if of_first is None else min(of_first, shared)
+                if len(suffix) > shared:
+                    ends.append(len(suffix))
+                    sums.append(count)
+                else:
+                    sums[-1] += count
+                last = suffix
+        yield from pop(0, DEALT)
         yield out()
 
-    longer = dealt.select("suffix", "count").mapInArrow(run, "gram array<int>, support long")
-    single = counts.groupBy(F.slice("suffix", 1, 1).alias("gram")).agg(F.sum("count").alias("support")).where(F.col("support") >= min_support)
-    return longer.unionByName(single)
+    parts = dealt.select("suffix", "count").mapInArrow(run, "gram array<int>, support long")
+    return parts.groupBy("gram").agg(F.sum("support").alias("support")).where(F.col("support") >= min_support)

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from termloom import NGramType, Params, ngram_statistics
+from termloom.operators import suffix
 from termloom.operators.closure import prefix_filter, suffix_filter
 from termloom.types import METHODS
 
@@ -86,6 +88,21 @@ def test_unlimited_length_with_duplicates(spark):
     assert run(spark, texts, 2, 40) == brute(texts, 2, 40, NGramType.ALL)
 
 
+def test_ngrams_that_lie_in_several_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("aaaab", k=rng.randint(0, 12))) for _ in range(120)] + ["a b a a b a a a"] * 9
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(suffix, "BATCH_CELLS", 50)
+    spark.conf.set(coalesce, False)
+    try:
+        for dealt in (1, 2, 5, 16):
+            monkeypatch.setattr(suffix, "DEALT", dealt)
+            for support in (1, 4):
+                assert run(spark, texts, support, 0) == brute(texts, support, 0, NGramType.ALL), (dealt, support)
+    finally:
+        spark.conf.unset(coalesce)
+
+
 def test_one_sided_filters_compose(spark):
     for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
         grams = ngram_statistics(lines(spark, MICRO), 2, 5, decoded=False).select("gram", "support")
