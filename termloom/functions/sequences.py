@@ -28,9 +28,10 @@ def is_suffix(a: Column, s: Column) -> Column:
     return F.coalesce((F.size(a) <= F.size(s)) & (a == F.slice(s, start, F.greatest(F.size(a), F.lit(0)))), F.lit(False))
 
 
-def window(a: Column, begin: int, end: int) -> Column:
-    """Elements from ``begin`` (0-based) up to ``end`` (exclusive)."""
-    return F.slice(a, begin + 1, end - begin)
+def window(a: Column, begin: int | Column, end: int | Column) -> Column:
+    """Elements from ``begin`` (0-based) up to ``end`` (exclusive); none if ``end`` is not larger."""
+    begin, end = (F.lit(x) if isinstance(x, int) else x for x in (begin, end))
+    return F.slice(a, begin + 1, F.greatest(end - begin, F.lit(0)))
 
 
 def prefixes(a: Column) -> Column:

@@ -107,23 +107,6 @@ def index_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scalar_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line's first words against its own shifted and reversed words."""
-    words = dictionary.tokenize(F.col("line"))
-    rows = _lines(spark, sf_dir).select("doc_id", "line_no", F.slice(words, 1, 6).alias("a"), F.slice(words, 1, 3).alias("p"), F.slice(words, 2, 6).alias("b"))
-    return rows.select(
-        "doc_id",
-        "line_no",
-        seq.lcp(F.col("a"), F.col("b")).alias("lcp_shifted"),
-        seq.lcp(F.col("a"), F.col("p")).alias("lcp_prefix"),
-        seq.is_prefix(F.col("p"), F.col("a")).alias("p_is_prefix"),
-        seq.is_prefix(F.col("b"), F.col("a")).alias("b_is_prefix"),
-        seq.is_suffix(F.slice("a", F.lit(2), F.lit(9)), F.col("a")).alias("tail_is_suffix"),
-        seq.is_suffix(F.col("p"), F.col("a")).alias("p_is_suffix"),
-        F.array_join(F.reverse("a"), " ").alias("reversed"),
-    )
-
-
-def scalar_sequences_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of each line's words against all but the first, all but the last, and in reverse."""
     a = dictionary.tokenize(F.col("line"))
     rows = _lines(spark, sf_dir).select("doc_id", "line_no", a.alias("a"), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))).alias("p"), F.slice(a, F.lit(2), F.size(a)).alias("b"))
@@ -141,8 +124,9 @@ def scalar_sequences_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second to fourth word of each line."""
-    words = seq.window(dictionary.tokenize(F.col("line")), 1, 4)
+    """Each line's words without the first and the last one."""
+    words = dictionary.tokenize(F.col("line"))
+    words = seq.window(words, 1, F.size(words) - 1)
     return _lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(words, " ").alias("words"))
 
 
@@ -236,7 +220,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     plain = (
         tokenize_lines, tokenize_lines_reference, word_counts, dictionary_ids, encoded_tokens, encoded_lines, frequent_terms, frequent_runs,
-        suffixes_sigma5, postings_k2, index_support, scalar_sequences, scalar_sequences_lines, windows_of_lines, text_scan, stored_dictionary,
+        suffixes_sigma5, postings_k2, index_support, scalar_sequences, windows_of_lines, text_scan, stored_dictionary,
         stored_lines, stored_ngrams, stored_index, stored_text, overwrite_rules, dropped_tables, convert_compute_decode,
     )
     found: dict[str, Query] = {f.__name__: f for f in plain}
@@ -247,10 +231,12 @@ def queries() -> dict[str, Query]:
         found[f"ngrams_prefix_{kind.name.lower()}"] = partial(_one_filter, keep=closure.prefix_filter, kind=kind)
         found[f"ngrams_suffix_{kind.name.lower()}"] = partial(_one_filter, keep=closure.suffix_filter, kind=kind)
     found["ngrams_unlimited_small"] = partial(_ngrams, table="benchmark", kind=NGramType.ALL, method="suffix", support=10, length=0)
+    found["ngrams_unlimited"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", length=0)
     found["ngrams_sigma10"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", length=10)
     found["ngrams_sigma10_apriori_index"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="apriori_index", length=10)
     for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
         found[f"ngrams_sigma10_{kind.name.lower()}"] = partial(_ngrams, table="documents", kind=kind, method="suffix", length=10)
+        found[f"ngrams_unlimited_{kind.name.lower()}"] = partial(_ngrams, table="documents", kind=kind, method="suffix", length=0)
         found[f"ngrams_unlimited_small_{kind.name.lower()}"] = partial(_ngrams, table="benchmark", kind=kind, method="suffix", support=10, length=0)
     found["ngrams_sigma40"] = partial(_ngrams, table="benchmark", kind=NGramType.ALL, method="suffix", support=2, length=40)
     found["ngrams_reference_tokens"] = partial(_ngrams, table="documents", kind=NGramType.ALL, method="suffix", empty_token="reference")
@@ -292,6 +278,24 @@ def _grams(length: int, support: int) -> str:
         grams AS (SELECT w[i:i + m] AS g, count(*) AS support FROM cut GROUP BY 1 HAVING count(*) >= {support})"""
 
 
+def _unlimited_grams(support: int) -> str:
+    """The same of any length, without all subsequences of long lines: a position stays while its n-gram has enough support, and is known by the first one with the same n-gram."""
+    same = "o.same, k.tid"
+    return f"""{_WORDS}, {_DICT},
+        keyed AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY doc_id, line_no, pos) AS id, dense_rank() OVER (ORDER BY doc_id, line_no) AS line, doc_id, line_no, pos, tid
+            FROM words JOIN dict USING (word)
+        ),
+        places AS (
+            SELECT id, line, 1 AS n, min(id) OVER (PARTITION BY tid) AS same FROM keyed QUALIFY count(*) OVER (PARTITION BY tid) >= {support}
+            UNION ALL
+            SELECT o.id, o.line, o.n + 1, min(o.id) OVER (PARTITION BY {same}) FROM places o JOIN keyed k ON k.id = o.id + o.n AND k.line = o.line
+            QUALIFY count(*) OVER (PARTITION BY {same}) >= {support}
+        ),
+        found AS (SELECT same AS id, n, count(*) AS support FROM places GROUP BY ALL),
+        grams AS (SELECT w[pos + 1:pos + n] AS g, support FROM found JOIN keyed USING (id) JOIN toks USING (doc_id, line_no))"""
+
+
 _OUT = "array_to_string(g, ' ') AS ngram, CAST(len(g) AS INT) AS n, support"
 _LONGER = {
     "prefix": "SELECT g[1:len(g) - 1] AS g, support FROM grams WHERE len(g) > 1",
@@ -301,7 +305,7 @@ _LONGER["both"] = f"{_LONGER['prefix']} UNION ALL {_LONGER['suffix']}"
 
 
 def _ngram_sql(kind: NGramType, side: str = "both", base: str | None = None, length: int = LENGTH, support: int = SUPPORT) -> str:
-    with_ = f"WITH {base or _base()}, {_grams(length, support)}"
+    with_ = f"WITH RECURSIVE {base or _base()}, {_grams(length, support) if length else _unlimited_grams(support)}"
     if kind is NGramType.ALL:
         return f"{with_} SELECT {_OUT} FROM grams"
     equal = "AND l.support = k.support" if kind is NGramType.CLOSED else ""
@@ -340,14 +344,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT ngram, doc_id, line_no, '[' || string_agg(CAST(pos AS VARCHAR), ', ' ORDER BY pos) || ']' AS offsets
             FROM pairs JOIN often USING (ngram) GROUP BY ngram, doc_id, line_no""",
         "index_support": f"WITH {base}, {_WORDS}, {pairs} SELECT ngram, CAST(2 AS INT) AS n, support FROM often",
-        "scalar_sequences": f"""WITH {base}, v AS (SELECT doc_id, line_no, w[1:6] AS a, w[1:3] AS p, w[2:7] AS b FROM toks)
-            SELECT doc_id, line_no,
-                   CAST(coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b))) AS INT)
-                       AS lcp_shifted,
-                   CAST(len(p) AS INT) AS lcp_prefix,
-                   true AS p_is_prefix, len(b) <= len(a) AND a[1:len(b)] = b AS b_is_prefix, true AS tail_is_suffix,
-                   a[len(a) - len(p) + 1:len(a)] = p AS p_is_suffix, array_to_string(list_reverse(a), ' ') AS reversed FROM v""",
-        "scalar_sequences_lines": f"""WITH {base}, v AS (SELECT doc_id, line_no, w AS a, w[1:len(w) - 1] AS p, w[2:len(w)] AS b FROM toks)
+        "scalar_sequences": f"""WITH {base}, v AS (SELECT doc_id, line_no, w AS a, w[1:len(w) - 1] AS p, w[2:len(w)] AS b FROM toks)
             SELECT doc_id, line_no,
                    CAST(coalesce(list_min(list_filter(range(1, len(b) + 1), lambda i: a[i] <> b[i])) - 1, len(b)) AS INT) AS lcp_shifted,
                    CAST(len(p) AS INT) AS lcp_prefix, a[1:len(p)] = p AS p_is_prefix, a[1:len(b)] = b AS b_is_prefix,
@@ -357,7 +354,7 @@ def oracle_sql() -> dict[str, str]:
     all_grams, small = _ngram_sql(NGramType.ALL), _base("benchmark", "item_id")
     lengths = "SELECT CAST(len(g) AS INT) AS n, support, count(*) AS grams, '{0}' AS sink, CAST(1 AS INT) AS refused FROM grams WHERE support >= {1} GROUP BY 1, 2"
     out |= {
-        "windows_of_lines": f"WITH {base} SELECT doc_id, line_no, array_to_string(w[2:4], ' ') AS words FROM toks",
+        "windows_of_lines": f"WITH {base} SELECT doc_id, line_no, array_to_string(w[2:len(w) - 1], ' ') AS words FROM toks",
         "text_scan": f"WITH {base} SELECT line, count(*) AS count, CAST(0 AS BIGINT) AS misplaced FROM lines GROUP BY line",
         "stored_dictionary": out["dictionary_ids"],
         "stored_lines": out["encoded_lines"],
@@ -374,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
         out[f"ngrams_sigma10_{kind.name.lower()}"] = _ngram_sql(kind, length=10)
+        out[f"ngrams_unlimited_{kind.name.lower()}"] = _ngram_sql(kind, length=0)
         out[f"ngrams_unlimited_small_{kind.name.lower()}"] = _ngram_sql(kind, base=small, length=10_000, support=10)
     for kind in NGramType:
         for method in METHODS:
@@ -381,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
     for kind in (NGramType.CLOSED, NGramType.MAXIMAL):
         for side in ("prefix", "suffix"):
             out[f"ngrams_{side}_{kind.name.lower()}"] = _ngram_sql(kind, side)
+    out["ngrams_unlimited"] = _ngram_sql(NGramType.ALL, length=0)
     # Without a limit on the length: no line of this table is longer than 10,000 words.
     out["ngrams_unlimited_small"] = _ngram_sql(NGramType.ALL, base=_base("benchmark", "item_id"), length=10_000, support=10)
     out["ngrams_sigma10"] = _ngram_sql(NGramType.ALL, length=10)

@@ -20,7 +20,7 @@ def test_every_query_has_sql_with_the_same_columns():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["frequent_runs", "scalar_sequences", "postings_k2", "ngrams_maximal_apriori_index", "benchmark_ngrams", "stored_index", "overwrite_rules", "dropped_tables", "text_scan", "ngrams_reference_tokens", "windows_of_lines"])
+@pytest.mark.parametrize("name", ["frequent_runs", "scalar_sequences", "postings_k2", "ngrams_maximal_apriori_index", "benchmark_ngrams", "stored_index", "overwrite_rules", "dropped_tables", "text_scan", "ngrams_reference_tokens", "windows_of_lines", "ngrams_unlimited", "ngrams_unlimited_closed"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "benchmark"):
@@ -35,7 +35,7 @@ def test_queries_match_sql(spark, name):
 def test_sequences_of_whole_lines(spark, tmp_path):
     texts = ["a b c d e f g h i j", " ".join(["x"] * 12 + ["y"]), "one", "", "...\nx x x x x x x x x"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    name = "scalar_sequences_lines"
+    name = "scalar_sequences"
     for sf in (str(tmp_path), SF):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet{'/*.parquet' if sf != SF else ''}')")
