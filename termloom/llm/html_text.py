@@ -4,8 +4,8 @@ A page becomes a sequence of leaf blocks (runs of text between block-level tags)
 A block is read as two hashed vectors, of its tag path (tags, classes, ids of all
 open elements) and of its words, and a few proportions. A bidirectional LSTM reads
 the whole sequence, so each block is judged in the context of the document, and
-gives each block the probability of being article text. Pages of very many blocks are
-read in windows, each with the blocks around it.
+gives each block the probability of being article text. A page is read whole, whatever
+its length; only the features of a part of it are held at once.
 
 Parsing takes time in proportion to the page, whatever it holds: open elements are
 found by lists of their places, and the tag path is a bitmap kept up to date.
@@ -265,10 +265,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _lstm(gates: np.ndarray, u: np.ndarray, mask: np.ndarray, learn: bool = True) -> tuple[np.ndarray, list]:
-    """Hidden states (T, B, H), and what :func:`_lstm_back` needs; gates: the inputs' share (T, B, 4H); a masked step keeps the state."""
+def _lstm(
+    gates: np.ndarray, u: np.ndarray, mask: np.ndarray, learn: bool = True, state: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states (T, B, H), what :func:`_lstm_back` needs, and the last state; gates: the inputs' share (T, B, 4H); a masked step keeps the state."""
     steps, batch, _ = gates.shape
-    h = c = np.zeros((batch, HIDDEN), np.float32)
+    h, c = state or (np.zeros((batch, HIDDEN), np.float32),) * 2
     out, tape = np.empty((steps, batch, HIDDEN), np.float32), []
     for t in range(steps):
         z = gates[t] + h @ u
@@ -282,7 +284,7 @@ def _lstm(gates: np.ndarray, u: np.ndarray, mask: np.ndarray, learn: bool = True
             tape.append((i, f, o, g, c, tc, h, m))
         h, c = m * (o * tc) + (1 - m) * h, m * c2 + (1 - m) * c
         out[t] = h
-    return out, tape
+    return out, tape, (h, c)
 
 
 def _lstm_back(dout: np.ndarray, u: np.ndarray, tape: list) -> tuple[np.ndarray, np.ndarray]:
@@ -321,8 +323,8 @@ class BlockLabeller:
 
     def forward(self, x: np.ndarray, mask: np.ndarray, learn: bool = True) -> tuple[np.ndarray, tuple]:
         w = self.w
-        hf, tf = _lstm(x @ w["wf"] + w["bf"], w["uf"], mask, learn)
-        hb, tb = _lstm((x @ w["wb"] + w["bb"])[::-1], w["ub"], mask[::-1], learn)
+        hf, tf, _ = _lstm(x @ w["wf"] + w["bf"], w["uf"], mask, learn)
+        hb, tb, _ = _lstm((x @ w["wb"] + w["bb"])[::-1], w["ub"], mask[::-1], learn)
         h = np.concatenate([hf, hb[::-1]], 2)
         return _sigmoid((h @ w["v"])[:, :, 0] + w["vb"]), (x, h, tf, tb)
 
@@ -358,33 +360,41 @@ class BlockLabeller:
                     m2[name] = 0.999 * m2[name] + 0.001 * g * g
                     self.w[name] -= 0.01 * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.999**step)) + 1e-8)
 
-    def label(self, pages: list[list[Block]], budget: int = 16_384, long: int = 2_048, own: int = 1_024, around: int = 128) -> list[np.ndarray]:
-        """Probability of article text for each block of each page.
+    def label(self, pages: list[list[Block]], budget: int = 16_384, steps: int = 4_096) -> list[np.ndarray]:
+        """Probability of article text for each block of each page, read in the context of its whole page.
 
-        ``budget``: padded blocks in a batch. Pages of more than ``long`` blocks are read in
-        windows of ``own`` blocks and up to ``around`` on either side.
+        ``budget``: padded blocks in a batch. ``steps``: blocks whose features are held at
+        once; the network's state goes on from one part of a page to the next, so it
+        changes no result.
         """
         out = [np.zeros(len(p)) for p in pages]
-        todo: list[tuple[int, int, int, int, int]] = []  # page, window, what of it counts
-        for i, page in enumerate(pages):
-            n = len(page)
-            if n > long:
-                todo += [(i, max(0, at - around), min(n, at + own + around), at, min(n, at + own)) for at in range(0, n, own)]
-            elif n:
-                todo.append((i, 0, n, 0, n))
-        todo.sort(key=lambda t: t[2] - t[1])
+        todo = sorted((i for i, page in enumerate(pages) if page), key=lambda i: len(pages[i]))
         at = 0
         while at < len(todo):
             stop = at + 1
-            while stop < len(todo) and (todo[stop][2] - todo[stop][1]) * (stop + 1 - at) <= budget:
+            while stop < len(todo) and len(pages[todo[stop]]) * (stop + 1 - at) <= budget:
                 stop += 1
-            x, mask, _ = _padded([features(pages[i], a, b) for i, a, b, _, _ in todo[at:stop]], None)
-            p, _ = self.forward(x, mask, learn=False)
-            for k, (i, a, _, lo, hi) in enumerate(todo[at:stop]):
-                out[i][lo:hi] = p[lo - a : hi - a, k]
+            for i, p in zip(todo[at:stop], self._read([pages[i] for i in todo[at:stop]], steps), strict=True):
+                out[i][:] = p
             at = stop
         return out
 
+    def _read(self, pages: list[list[Block]], steps: int) -> list[np.ndarray]:
+        """Probabilities of pages of like lengths, by parts of ``steps`` blocks: forwards, then backwards."""
+        w, longest = self.w, max(map(len, pages))
+        z = np.zeros((longest, len(pages)), np.float32)
+        starts, held = list(range(0, longest, steps)), None
+        for side, v in (("f", w["v"][:HIDDEN]), ("b", w["v"][HIDDEN:])):
+            turn, state = (1 if side == "f" else -1), None
+            for a in starts[::turn]:
+                if held is None or held[0] != a:  # the last part forwards is the first one backwards
+                    held = (a, *_padded([features(p, a, a + steps) for p in pages], None)[:2])
+                _, x, mask = held
+                h, _, state = _lstm((x @ w[f"w{side}"] + w[f"b{side}"])[::turn], w[f"u{side}"], mask[::turn], False, state)
+                z[a : a + steps] += (h[::turn] @ v)[:, :, 0]
+        p = _sigmoid(z + w["vb"])
+        return [p[: len(page), k] for k, page in enumerate(pages)]
+
 
 def _padded(xs: list[np.ndarray], ys: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = max(map(len, xs))

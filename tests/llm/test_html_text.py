@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from termloom.llm.html_text import BlockLabeller, blocks, extract_text, features, generated_pages, trained
+from termloom.llm.html_text import HIDDEN, BlockLabeller, blocks, extract_text, features, generated_pages, trained
 
 SCHEMA = "page_id long, url string, html string, text string"
 
@@ -46,6 +46,21 @@ def test_held_out_accuracy():
     assert wrong / total < 0.03
 
 
+def test_long_pages_are_read_whole():
+    model = BlockLabeller.untrained(np.random.default_rng(2))
+    for side in "fb":  # a network that forgets little: every block depends on the whole page
+        model.w[f"b{side}"][HIDDEN : 2 * HIDDEN] = 9
+    page = "<nav><a href=/a>Home</a></nav>" + "".join(f"<p>{'word ' * (i % 40 + 1)}{i}</p>" for i in range(2_500)) + "<footer>end</footer>"
+    found = blocks(page)
+    assert len(found) == 2_502
+    x = features(found)[:, None]
+    whole = model.forward(x, np.ones(x.shape[:2], np.float32), learn=False)[0][:, 0]
+    assert np.abs(model.label([found])[0] - whole).max() < 1e-5
+    short = blocks("<p>a short page</p>")
+    for p, want in zip(model.label([found, short, [], found[:9]], steps=7), model.label([found, short, [], found[:9]]), strict=True):
+        assert len(p) == len(want) and np.allclose(p, want, atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     model = BlockLabeller.untrained(rng)
