@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.apriori_index import apriori_index_ngrams
 from ..operators.apriori_scan import apriori_scan_ngrams
+from ..operators.blocks import block_counts, block_ngrams, decode_blocks, encoded_blocks, word_blocks
 from ..operators.closure import restrict
 from ..operators.decode import decode
 from ..operators.dictionary import build_dictionary, tokens, word_counts
 from ..operators.encode import frequent_tokens, frequent_words
 from ..operators.naive import naive_ngrams
 from ..operators.suffix import suffix_ngrams
+from ..sources.store import Levels
 from ..types import NGramType, Params
 
 _METHODS = {"suffix": suffix_ngrams, "naive": naive_ngrams, "apriori_scan": apriori_scan_ngrams, "apriori_index": apriori_index_ngrams}
@@ -25,6 +27,15 @@ def mine(frequent: DataFrame, params: Params) -> DataFrame:
     return grams.select("gram", F.size("gram").alias("n"), "support")
 
 
+def encode_in_blocks(lines: DataFrame, min_support: int, levels: Levels, empty_token: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """Blocks of the ids of frequent words, and the dictionary of these words; both are written to ``levels``."""
+    blocks = levels.keep(word_blocks(lines, empty_token), "words")
+    frequent = levels.keep(build_dictionary(block_counts(blocks).where(F.col("count") >= min_support)), "frequent")
+    encoded = levels.settle(encoded_blocks(blocks, frequent), "encoded")
+    levels.drop("words")
+    return encoded, frequent
+
+
 def ngram_statistics(
     lines: DataFrame,
     min_support: int,
@@ -41,6 +52,11 @@ def ngram_statistics(
     support``, or ``gram, n, support`` with term ids if not ``decoded``.
     """
     params = Params(min_support, max_length, kind, method)
+    if method == "suffix":
+        levels = Levels(lines.sparkSession, "blocks")
+        encoded, frequent = encode_in_blocks(lines, min_support, levels, empty_token)
+        grams = restrict(block_ngrams(encoded, frequent, min_support, max_length, levels), params.kind)
+        return decode_blocks(grams, frequent, levels) if decoded else grams.select("gram", F.size("gram").alias("n"), "support")
     words = tokens(lines, empty_token)
     # Infrequent words can be in no result: they never get an id.
     frequent = build_dictionary(word_counts(words).where(F.col("count") >= min_support))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -91,6 +92,13 @@ class Levels:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
+    def settle(self, df: DataFrame, table: str) -> DataFrame:
+        """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected."""
+        kept = self.keep(df, table)
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return kept
+
     def holds(self, table: str) -> bool:
         path, files = self._files(f"{self.path}/{table}")
         return files.exists(path)
