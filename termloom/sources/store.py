@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,8 +96,10 @@ class Levels:
     def settle(self, df: DataFrame, table: str) -> DataFrame:
         """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected."""
         kept = self.keep(df, table)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round finds lets go of the rest
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(1)
         return kept
 
     def holds(self, table: str) -> bool:
