@@ -103,25 +103,28 @@ def block_counts(blocks: DataFrame) -> DataFrame:
 
 
 def encoded_blocks(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``block, n, tids``: ids of the words in the dictionary; one 0 for anything between runs of them."""
+    """``block, n, most, tids, names``: ids of the words in the dictionary; one 0 for anything between runs of them. ``names``: the words of the ids."""
     words = blocks.select("block", F.posexplode("words").alias("i", "word"))
-    ids = words.join(dictionary.select("word", "tid"), "word").groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("tid").alias("tid"))
-    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("tids", pa.binary())])
+    ids = words.join(dictionary.select("word", "tid"), "word").groupBy("block").agg(F.collect_list(F.struct("i", "tid", "word")).alias("names"))
+    names = pa.list_(pa.struct([("tid", pa.int32()), ("word", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block, codes, places, tids = (batch.column(c)[k] for c in ("block", "codes", "i", "tid"))
-                codes = unpack(codes.as_py())
+                block, codes, found = (batch.column(c)[k] for c in ("block", "codes", "names"))
+                codes, found = unpack(codes.as_py()), found.values
                 table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
-                table[places.values.to_numpy() + 1] = tids.values.to_numpy()
-                found = table[codes]
-                kept = found > 0
-                kept[1:] |= found[:-1] > 0
-                found = found[kept]
-                yield _batch(schema, [block.as_py()], [len(found)], [pack(found)])
-
-    return blocks.select("block", "codes").join(ids, "block").mapInArrow(run, "block long, n long, tids binary")
+                tids = found.field("tid")
+                table[found.field("i").to_numpy() + 1] = tids.to_numpy()
+                codes = table[codes]
+                kept = codes > 0
+                kept[1:] |= codes[:-1] > 0
+                codes = codes[kept]
+                pairs = pa.StructArray.from_arrays([tids.cast(pa.int32()), found.field("word").cast(pa.string())], ["tid", "word"])
+                lists = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs).cast(names)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([len(codes)]), pa.array([int(codes.max(initial=0))]), pa.array([pack(codes)]), lists], ["block", "n", "most", "tids", "names"])
+
+    return blocks.select("block", "codes").join(ids, "block").mapInArrow(run, "block long, n long, most long, tids binary, names array<struct<tid:int,word:string>>")
 
 
 def _keys(tids: np.ndarray, k: int, bits: int, terms: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..operators.apriori_index import apriori_index_ngrams
 from ..operators.apriori_scan import apriori_scan_ngrams
+from ..operators.block_levels import mine_levels, put_out
 from ..operators.blocks import block_counts, block_ngrams, decode_blocks, encoded_blocks, word_blocks
 from ..operators.closure import restrict
 from ..operators.decode import decode
 from ..operators.dictionary import build_dictionary, tokens, word_counts
 from ..operators.encode import frequent_tokens, frequent_words
 from ..operators.naive import naive_ngrams
-from ..operators.suffix import suffix_ngrams
+from ..operators.suffix import LONG, suffix_ngrams
 from ..sources.store import Levels
 from ..types import NGramType, Params
 
@@ -55,6 +56,10 @@ def ngram_statistics(
     if method == "suffix":
         levels = Levels(lines.sparkSession, "blocks")
         encoded, frequent = encode_in_blocks(lines, min_support, levels, empty_token)
+        if 0 < max_length <= LONG:
+            made = mine_levels(encoded, min_support, max_length, params.kind, levels)
+            found = put_out(encoded, made, params.kind, levels, decoded)
+            return found if decoded else found.select("gram", F.size("gram").alias("n"), "support")
         grams = restrict(block_ngrams(encoded, frequent, min_support, max_length, levels), params.kind)
         return decode_blocks(grams, frequent, levels) if decoded else grams.select("gram", F.size("gram").alias("n"), "support")
     words = tokens(lines, empty_token)

@@ -89,13 +89,15 @@ class Levels:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}")
+    def keep(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
+        """``by``: rows of each value of that column are a table by themselves, to be dropped alone."""
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
-    def settle(self, df: DataFrame, table: str) -> DataFrame:
+    def settle(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected."""
-        kept = self.keep(df, table)
+        kept = self.keep(df, table, by)
         for _ in range(2):  # what the first round finds lets go of the rest
             gc.collect()
             self.spark._jvm.System.gc()
