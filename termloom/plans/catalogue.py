@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import cli
 from ..functions import sequences as seq
-from ..operators import apriori_index, blocks, closure, decode, dictionary, encode, suffix
+from ..operators import apriori_index, block_levels, closure, decode, dictionary, encode, suffix
 from ..sources import store
 from ..sources.lines import lines_from_files, lines_from_table
 from ..types import METHODS, NGramType, Params
@@ -78,9 +78,9 @@ def frequent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suffixes_sigma5(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = store.Levels(spark, "suffixes")
-    encoded, words = encode_in_blocks(_lines(spark, sf_dir), SUPPORT, levels)
-    counts = blocks.all_suffixes(encoded, LENGTH).select(F.col("suffix").alias("gram"), F.col("count").alias("support"))
-    return blocks.decode_blocks(counts, words, levels).select(F.col("ngram").alias("suffix"), F.col("support").alias("count"))
+    encoded, _ = encode_in_blocks(_lines(spark, sf_dir), SUPPORT, levels)
+    made = block_levels.mine_levels(encoded, SUPPORT, LENGTH, NGramType.ALL, levels, suffixes=True)
+    return block_levels.put_out(encoded, made, NGramType.ALL, levels).select(F.col("ngram").alias("suffix"), F.col("support").alias("count"))
 
 
 def _ngrams(spark: SparkSession, sf_dir: str, table: str, kind: NGramType, method: str, support: int = SUPPORT, length: int = LENGTH, empty_token: str = "drop") -> DataFrame:
