@@ -11,10 +11,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .operators.decode import decode
-from .operators.dictionary import build_dictionary, tokens, word_counts
-from .operators.encode import collect_lines, encode, explode_lines
-from .plans.api import ngram_statistics_encoded
+from .operators.blocks import block_counts, decode_blocks, decoded_lines, word_blocks
+from .operators.dictionary import build_dictionary
+from .plans.api import ngram_statistics_lines
 from .sources import store
 from .sources.lines import lines_from_files
 from .types import EMPTY_TOKENS, METHODS, Params
@@ -22,22 +21,25 @@ from .types import EMPTY_TOKENS, METHODS, Params
 
 def convert(spark: SparkSession, text: str, collection: str, empty_token: str = "drop") -> None:
     """Text files to a dictionary and encoded lines below ``collection``."""
-    words = tokens(lines_from_files(spark, text), empty_token)
-    store.write_dictionary(build_dictionary(word_counts(words)), f"{collection}/dic")
-    dictionary = store.read_dictionary(spark, f"{collection}/dic")
-    store.write_encoded(collect_lines(encode(words, dictionary)), f"{collection}/seq")
+    levels = store.Levels(spark, "convert")
+    blocks = levels.keep(word_blocks(lines_from_files(spark, text), empty_token, ids=True), "words")
+    store.write_dictionary(build_dictionary(block_counts(blocks)), f"{collection}/dic")
+    store.write_encoded(decoded_lines(blocks, store.read_dictionary(spark, f"{collection}/dic")), f"{collection}/seq")
+    levels.drop("words")
+    store.release(spark)
 
 
 def compute(spark: SparkSession, collection: str, result: str, params: Params) -> None:
     """N-grams of a collection, as term ids."""
-    encoded = explode_lines(store.read_encoded(spark, f"{collection}/seq"))
     dictionary = store.read_dictionary(spark, f"{collection}/dic")
-    store.write_ngrams(ngram_statistics_encoded(encoded, dictionary, params.min_support, params.max_length, params.kind, params.method), result)
+    store.write_ngrams(ngram_statistics_lines(store.read_encoded(spark, f"{collection}/seq"), dictionary, params), result)
+    store.release(spark)
 
 
 def decode_result(spark: SparkSession, result: str, collection: str, statistics: str) -> None:
     """N-grams as text."""
-    store.write_text(decode(store.read_ngrams(spark, result), store.read_dictionary(spark, f"{collection}/dic")), statistics)
+    levels = store.Levels(spark, "decode")
+    store.write_text(decode_blocks(store.read_ngrams(spark, result), store.read_dictionary(spark, f"{collection}/dic"), levels), statistics)
 
 
 def main(args: list[str] | None = None) -> None:

@@ -31,8 +31,9 @@ _ODD = 0x9E3779B97F4A7C15
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Non-negative integers, byte planes apart, compressed."""
-    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T[: max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)])
+    """Integers, byte planes apart, compressed; negative ones take all planes."""
+    width = 8 if a.min(initial=0) < 0 else max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
     made = planes.tobytes()
     return len(a).to_bytes(8, "little") + len(planes).to_bytes(1, "little") + pa.Codec("zstd", 1).compress(made, asbytes=True)
 
@@ -50,14 +51,24 @@ def _batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def word_blocks(lines: DataFrame, empty_token: str = "drop") -> DataFrame:
-    """``block, words, counts, codes``: a block's distinct words, the most frequent first, and its lines as their numbers from 1, each followed by 0."""
-    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+def word_blocks(lines: DataFrame, empty_token: str = "drop", ids: bool = False) -> DataFrame:
+    """``block, words, counts, codes``: a block's distinct words, the most frequent first, and its lines as their numbers from 1, each followed by 0.
+
+    ``ids``: then ``docs, numbers`` too, the lines' identifiers (which must be whole numbers).
+    """
+    words = lines.select(tokenize(F.col("line"), empty_token).alias("words"), *(["doc_id", "line_no"] if ids else []))
+    return list_blocks(words.where(F.size("words") > 0), ids)
+
+
+def list_blocks(lists: DataFrame, ids: bool = False) -> DataFrame:
+    """:func:`word_blocks` of ``words``, lists that are not empty, and of ``doc_id, line_no`` with ``ids``."""
+    schema = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), *((c, pa.binary()) for c in (("docs", "numbers") if ids else ()))])
     limit = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Array] = []
         sizes: list[np.ndarray] = []
+        keys: list[pa.RecordBatch] = []
         held = 0
         block = TaskContext.get().partitionId() << 33
 
@@ -71,7 +82,7 @@ def word_blocks(lines: DataFrame, empty_token: str = "drop") -> DataFrame:
             lines = np.concatenate(sizes)
             made = np.zeros(len(codes) + len(lines), np.int64)
             made[np.arange(len(codes)) + np.repeat(np.arange(len(lines)), lines)] = rank[codes]
-            return _batch(schema, [block], [found.dictionary.take(pa.array(order)).to_pylist()], [counts[order]], [pack(made)])
+            return _batch(schema, [block], [found.dictionary.take(pa.array(order)).to_pylist()], [counts[order]], [pack(made)], *([[pack(np.concatenate([k.column(c).to_numpy().astype(np.int64) for k in keys]))] for c in (1, 2)] if ids else []))
 
         for batch in batches:
             lists = batch.column(0)
@@ -82,6 +93,8 @@ def word_blocks(lines: DataFrame, empty_token: str = "drop") -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(edges, edges[at] + limit - held, "right")) - 1)
                 words.append(lists.values.slice(edges[at], edges[to] - edges[at]))
                 sizes.append(np.diff(edges[at : to + 1]))
+                if ids:
+                    keys.append(batch.slice(at, to - at))
                 held += int(edges[to] - edges[at])
                 at = to
                 if held >= limit or at < len(lists):
@@ -89,11 +102,35 @@ def word_blocks(lines: DataFrame, empty_token: str = "drop") -> DataFrame:
                     block += 1
                     words.clear()
                     sizes.clear()
+                    keys.clear()
                     held = 0
         if held:
             yield out()
 
-    return lines.select(tokenize(F.col("line"), empty_token).alias("words")).where(F.size("words") > 0).mapInArrow(run, "block long, words array<string>, counts array<long>, codes binary")
+    return lists.mapInArrow(run, "block long, words array<string>, counts array<long>, codes binary" + ", docs binary, numbers binary" * ids)
+
+
+def decoded_lines(blocks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``doc_id, line_no, tids`` of blocks with ``ids``, all of whose words are in the dictionary."""
+    words = blocks.select("block", F.posexplode("words").alias("i", "word"))
+    found = words.join(dictionary.select("word", "tid"), "word").groupBy("block").agg(F.collect_list(F.struct("i", "tid")).alias("names"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes, docs, numbers = (unpack(batch.column(c)[k].as_py()) for c in ("codes", "docs", "numbers"))
+                names = batch.column("names")[k].values
+                table = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+                table[names.field("i").to_numpy() + 1] = names.field("tid").to_numpy()
+                ends = np.flatnonzero(codes == 0)
+                edges = np.append(0, ends - np.arange(len(ends)))
+                tids = table[codes[codes > 0]]
+                for a in range(0, len(docs), 10_000):
+                    b = min(len(docs), a + 10_000)
+                    part = pa.ListArray.from_arrays(pa.array((edges[a : b + 1] - edges[a]).astype(np.int32)), pa.array(tids[edges[a] : edges[b]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[a:b]), pa.array(numbers[a:b].astype(np.int32)), part], ["doc_id", "line_no", "tids"])
+
+    return blocks.select("block", "codes", "docs", "numbers").join(found, "block").mapInArrow(run, "doc_id long, line_no int, tids array<int>")
 
 
 def block_counts(blocks: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.apriori_index import apriori_index_ngrams
 from ..operators.apriori_scan import apriori_scan_ngrams
 from ..operators.block_levels import mine_levels, put_out
-from ..operators.blocks import block_counts, block_ngrams, decode_blocks, encoded_blocks, word_blocks
+from ..operators.blocks import block_counts, block_ngrams, decode_blocks, encoded_blocks, list_blocks, word_blocks
 from ..operators.closure import restrict
 from ..operators.decode import decode
 from ..operators.dictionary import build_dictionary, tokens, word_counts
-from ..operators.encode import frequent_tokens, frequent_words
+from ..operators.encode import explode_lines, frequent_tokens, frequent_words
 from ..operators.naive import naive_ngrams
 from ..operators.suffix import LONG, suffix_ngrams
 from ..sources.store import Levels
@@ -37,6 +37,19 @@ def encode_in_blocks(lines: DataFrame, min_support: int, levels: Levels, empty_t
     return encoded, frequent
 
 
+def ngram_statistics_lines(lines: DataFrame, dictionary: DataFrame, params: Params) -> DataFrame:
+    """:func:`ngram_statistics_encoded` from lines (``doc_id, line_no, tids``); the suffix method holds them as blocks."""
+    if params.method != "suffix" or not 0 < params.max_length <= LONG:
+        return ngram_statistics_encoded(explode_lines(lines), dictionary, params.min_support, params.max_length, params.kind, params.method)
+    levels = Levels(lines.sparkSession, "blocks")
+    blocks = levels.keep(list_blocks(lines.where(F.size("tids") > 0).select(F.col("tids").cast("array<string>").alias("words"))), "words")
+    frequent = dictionary.where(F.col("count") >= params.min_support).select(F.col("tid").cast("string").alias("word"), "tid")
+    encoded = levels.settle(encoded_blocks(blocks, frequent), "encoded")
+    levels.drop("words")
+    made = mine_levels(encoded, params.min_support, params.max_length, params.kind, levels)
+    return put_out(encoded, made, params.kind, levels, decoded=False).select("gram", F.size("gram").alias("n"), "support")
+
+
 def ngram_statistics(
     lines: DataFrame,
     min_support: int,

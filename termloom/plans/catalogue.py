@@ -206,7 +206,7 @@ def dropped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def convert_compute_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three commands, one after the other, on text files."""
     at = store.Levels(spark, "commands").path
-    _lines(spark, sf_dir).select("line").write.text(f"{at}/in")
+    _lines(spark, sf_dir).select("line").write.option("compression", "gzip").text(f"{at}/in")
     cli.convert(spark, f"{at}/in", f"{at}/collection")
     cli.compute(spark, f"{at}/collection", f"{at}/result", Params(10, LENGTH, NGramType.CLOSED, "suffix"))
     cli.decode_result(spark, f"{at}/result", f"{at}/collection", f"{at}/statistics")

@@ -75,6 +75,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished queries, which it does when the driver's garbage is collected."""
+    for _ in range(2):  # what the first round finds lets go of the rest
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
+
+
 class Levels:
     """Tables of an iteration, written to the shared folder so that lineage stays short."""
 
@@ -98,10 +106,7 @@ class Levels:
     def settle(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
         """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected."""
         kept = self.keep(df, table, by)
-        for _ in range(2):  # what the first round finds lets go of the rest
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(1)
+        release(self.spark)
         return kept
 
     def holds(self, table: str) -> bool:

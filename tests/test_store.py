@@ -83,3 +83,29 @@ def test_streaming_word_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r["word"]: r["count"] for r in spark.table("words").collect()}["the"] == 4
+
+
+def test_command_line_in_many_blocks(spark, tmp_path, monkeypatch):
+    from termloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 5)
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one.txt").write_text("\n".join([*TEXT, "", "..."]) + "\n")
+    (source / "two.txt").write_text("\n".join(TEXT) + "\n")
+    collection = str(tmp_path / "col")
+    cli.main(["convert", str(source), collection])
+    found = lines_from_files(spark, str(source)).collect()
+    words = {r["tid"]: r["word"] for r in store.read_dictionary(spark, f"{collection}/dic").collect()}
+    rows = store.read_encoded(spark, f"{collection}/seq").collect()
+    assert sorted((r["doc_id"], r["line_no"], " ".join(words[t] for t in r["tids"])) for r in rows) == sorted((r["doc_id"], r["line_no"], r["line"]) for r in found if r["line"].strip("."))
+    plan = decoded_plan(spark, collection)
+    assert "posexplode(tids" not in plan and "Window" not in plan
+
+
+def decoded_plan(spark, collection):
+    from termloom.plans.api import ngram_statistics_lines
+    from termloom.types import NGramType, Params
+
+    df = ngram_statistics_lines(store.read_encoded(spark, f"{collection}/seq"), store.read_dictionary(spark, f"{collection}/dic"), Params(2, 3, NGramType.CLOSED, "suffix"))
+    return df._jdf.queryExecution().optimizedPlan().toString()
