@@ -24,16 +24,18 @@ from .blocks import _batch, _met, pack, unpack
 
 #: A block's places with their n-grams' numbers and supports; what it puts out; what it says is not maximal.
 STATE, OUT, LONGER = 0, 1, 2
-_ROW = "kind int, block long, n long, top long, a binary, b binary, c binary, d binary"
-_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("top", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+_ROW = "kind int, block long, n long, top long, a binary, b binary, c binary, d binary, e binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("top", pa.int64()), *((c, pa.binary()) for c in "abcde")])
 _ODD = 0x9E3779B97F4A7C15
 #: Up to so many tokens, shuffle files may stay until the end.
 SMALL = 1 << 24
+#: Rectangles that are spread at once.
+RECTANGLES = 1 << 12
 
 
 def _row(kind: int, block: int, *arrays: np.ndarray, top: int = 0) -> pa.RecordBatch:
     cells = [pack(a) for a in arrays]
-    return _batch(_SCHEMA, [kind], [block], [len(arrays[0])], [top], *([x] for x in cells + [pack(arrays[0][:0])] * (4 - len(cells))))
+    return _batch(_SCHEMA, [kind], [block], [len(arrays[0])], [top], *([x] for x in cells + [pack(arrays[0][:0])] * (5 - len(cells))))
 
 
 def _candidates(at: np.ndarray, ids: np.ndarray, ended: np.ndarray | None, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +213,29 @@ def mine_levels(encoded: DataFrame, min_support: int, max_length: int, kind: NGr
     return made
 
 
-def put_out(encoded: DataFrame, made: list[tuple[int, str]], kind: NGramType, levels: Levels, decoded: bool = True) -> DataFrame:
-    """``ngram, n, support``, or ``gram, support`` with term ids: what blocks put out, each from its own words."""
+def _spread(at: np.ndarray, size: np.ndarray, support: np.ndarray, starts: np.ndarray, stops: np.ndarray, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, lengths and supports of rectangles: the first n-gram of each, ``starts`` places from there on, and ``stops`` ends of each."""
+    # A row for each start.
+    first = np.cumsum(starts) - starts
+    move = np.arange(int(starts.sum())) - np.repeat(first, starts)
+    at, size, support, stops = np.repeat(at, starts) + move, np.repeat(size, starts) - move, np.repeat(support, starts), np.repeat(stops, starts)
+    ends = np.cumsum(stops * size + stops * (stops - 1) // 2)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + cells, "right")))
+        n = stops[a:b]
+        more = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(at[a:b], n), np.repeat(size[a:b], n) + more, np.repeat(support[a:b], n)
+        a = b
+
+
+def put_out(encoded: DataFrame, made: list[tuple[int, str]], kind: NGramType, levels: Levels, decoded: bool = True, rectangles: bool = False) -> DataFrame:
+    """``ngram, n, support``, or ``gram, support`` with term ids: what blocks put out, each from its own words. ``rectangles``: they put out many n-grams as one."""
     spark = levels.spark
     tables = None
     for n, name in made:
         rows = spark.read.schema(_ROW).parquet(f"{levels.path}/{name}")
-        rows = rows.select(F.lit(n).alias("level"), "kind", "block", "n", *"abcd")
+        rows = rows.select(F.lit(n).alias("level"), "kind", "block", "n", *"abcde")
         tables = rows if tables is None else tables.unionByName(rows)
     schema = "ngram string, n int, support long" if decoded else "gram array<int>, support long"
     if tables is None:
@@ -225,8 +243,12 @@ def put_out(encoded: DataFrame, made: list[tuple[int, str]], kind: NGramType, le
     outs = tables.where((F.col("kind") == OUT) & (F.col("n") > 0))
     if NGramType(kind) is NGramType.MAXIMAL:
         outs = _maximal(outs, tables.where((F.col("kind") == LONGER) & (F.col("n") > 0)), levels)
-    outs = outs.groupBy("block").agg(F.collect_list(F.struct(*"abc")).alias("outs"))
-    cells = blocks.CELLS
+    outs = outs.groupBy("block").agg(F.collect_list(F.struct(*("abcde" if rectangles else "abc"))).alias("outs"))
+    cells, some = blocks.CELLS, RECTANGLES
+
+    def pieces(*given: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(0, len(given[0]), some):
+            yield from _spread(*(x[a : a + some] for x in given), cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,22 +260,23 @@ def put_out(encoded: DataFrame, made: list[tuple[int, str]], kind: NGramType, le
                     index[own.field("tid").to_numpy()] = np.arange(len(own))
                     words = own.field("word")
                 for out in batch.column("outs")[k].as_py():
-                    at, size, support = np.cumsum(unpack(out["a"])), unpack(out["b"]), unpack(out["c"])
-                    ends = np.cumsum(size)
-                    a = 0
-                    while a < len(at):
-                        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + cells, "right")))
-                        edges = np.concatenate([[0], np.cumsum(size[a:b])])
-                        terms = tids[np.arange(edges[-1]) + np.repeat(at[a:b] - edges[:-1], size[a:b])]
-                        values = words.take(pa.array(index[terms])) if decoded else pa.array(terms)
-                        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
-                        if not decoded:
-                            yield pa.RecordBatch.from_arrays([lists, pa.array(support[a:b])], ["gram", "support"])
-                        else:
-                            texts = pc.binary_join(lists, " ")
-                            for c in range(0, b - a, 10_000):
-                                yield pa.RecordBatch.from_arrays([texts.slice(c, 10_000), pa.array(size[a:b][c : c + 10_000].astype(np.int32)), pa.array(support[a:b][c : c + 10_000])], ["ngram", "n", "support"])
-                        a = b
+                    given = np.cumsum(unpack(out["a"])), *(unpack(out[c]) for c in list(out)[1:])
+                    for at, size, support in pieces(*given) if rectangles else [given]:
+                        ends = np.cumsum(size)
+                        a = 0
+                        while a < len(at):
+                            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + cells, "right")))
+                            edges = np.concatenate([[0], np.cumsum(size[a:b])])
+                            terms = tids[np.arange(edges[-1]) + np.repeat(at[a:b] - edges[:-1], size[a:b])]
+                            values = words.take(pa.array(index[terms])) if decoded else pa.array(terms)
+                            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
+                            if not decoded:
+                                yield pa.RecordBatch.from_arrays([lists, pa.array(support[a:b])], ["gram", "support"])
+                            else:
+                                texts = pc.binary_join(lists, " ")
+                                for c in range(0, b - a, 10_000):
+                                    yield pa.RecordBatch.from_arrays([texts.slice(c, 10_000), pa.array(size[a:b][c : c + 10_000].astype(np.int32)), pa.array(support[a:b][c : c + 10_000])], ["ngram", "n", "support"])
+                            a = b
 
     return encoded.select("block", "tids", *(["names"] if decoded else [])).join(outs, "block").mapInArrow(run, schema)
 
@@ -271,7 +294,7 @@ def _maximal(outs: DataFrame, longer: DataFrame, levels: Levels) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 at, size, support, ids = np.cumsum(unpack(row["a"])), unpack(row["b"]), unpack(row["c"]), unpack(row["d"])
-                level = np.where(size == row["level"], 0, row["level"]).astype(np.int32)
+                level = np.full(len(at), row["level"], np.int32)  # number 0 is no n-gram's: nothing can take it away
                 yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(ids), pa.array(np.full(len(at), row["block"])), pa.array(at), pa.array(size.astype(np.int32)), pa.array(support)], ["level", "id", "block", "at", "size", "support"])
 
     def gather(table: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.apriori_index import apriori_index_ngrams
 from ..operators.apriori_scan import apriori_scan_ngrams
 from ..operators.block_levels import mine_levels, put_out
+from ..operators.block_spans import mine_spans
 from ..operators.blocks import block_counts, block_ngrams, decode_blocks, encoded_blocks, list_blocks, word_blocks
 from ..operators.closure import restrict
 from ..operators.decode import decode
@@ -39,15 +40,24 @@ def encode_in_blocks(lines: DataFrame, min_support: int, levels: Levels, empty_t
 
 def ngram_statistics_lines(lines: DataFrame, dictionary: DataFrame, params: Params) -> DataFrame:
     """:func:`ngram_statistics_encoded` from lines (``doc_id, line_no, tids``); the suffix method holds them as blocks."""
-    if params.method != "suffix" or not 0 < params.max_length <= LONG:
+    if params.method != "suffix" or params.max_length > LONG:
         return ngram_statistics_encoded(explode_lines(lines), dictionary, params.min_support, params.max_length, params.kind, params.method)
     levels = Levels(lines.sparkSession, "blocks")
     blocks = levels.keep(list_blocks(lines.where(F.size("tids") > 0).select(F.col("tids").cast("array<string>").alias("words"))), "words")
     frequent = dictionary.where(F.col("count") >= params.min_support).select(F.col("tid").cast("string").alias("word"), "tid")
     encoded = levels.settle(encoded_blocks(blocks, frequent), "encoded")
     levels.drop("words")
-    made = mine_levels(encoded, params.min_support, params.max_length, params.kind, levels)
-    return put_out(encoded, made, params.kind, levels, decoded=False).select("gram", F.size("gram").alias("n"), "support")
+    return _mined(encoded, params, levels, decoded=False)
+
+
+def _mined(encoded: DataFrame, params: Params, levels: Levels, decoded: bool) -> DataFrame:
+    """N-grams of blocks, up to ``LONG`` terms or without a limit."""
+    if params.max_length:
+        made = mine_levels(encoded, params.min_support, params.max_length, params.kind, levels)
+    else:
+        made = mine_spans(encoded, params.min_support, params.kind, levels)
+    found = put_out(encoded, made, params.kind, levels, decoded, rectangles=not params.max_length and params.kind is NGramType.ALL)
+    return found if decoded else found.select("gram", F.size("gram").alias("n"), "support")
 
 
 def ngram_statistics(
@@ -69,10 +79,8 @@ def ngram_statistics(
     if method == "suffix":
         levels = Levels(lines.sparkSession, "blocks")
         encoded, frequent = encode_in_blocks(lines, min_support, levels, empty_token)
-        if 0 < max_length <= LONG:
-            made = mine_levels(encoded, min_support, max_length, params.kind, levels)
-            found = put_out(encoded, made, params.kind, levels, decoded)
-            return found if decoded else found.select("gram", F.size("gram").alias("n"), "support")
+        if max_length <= LONG:
+            return _mined(encoded, params, levels, decoded)
         grams = restrict(block_ngrams(encoded, frequent, min_support, max_length, levels), params.kind)
         return decode_blocks(grams, frequent, levels) if decoded else grams.select("gram", F.size("gram").alias("n"), "support")
     words = tokens(lines, empty_token)
