@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import cli
 from ..functions import sequences as seq
-from ..operators import apriori_index, block_levels, closure, decode, dictionary, encode, suffix
+from ..operators import apriori_index, block_index, block_levels, closure, decode, dictionary, encode, suffix
 from ..sources import store
 from ..sources.lines import lines_from_files, lines_from_table
 from ..types import METHODS, NGramType, Params
@@ -161,12 +161,13 @@ def stored_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of frequent pairs, stored as posting lists."""
-    at = f"{store.Levels(spark, 'stored-index').path}/index"
-    frequent, words = _frequent(spark, sf_dir)
-    index, counts = apriori_index.keep_frequent(apriori_index.positions(frequent, 2), SUPPORT)
-    store.write_index(apriori_index.posting_lists(index), at)
-    rows = apriori_index.unnest(store.read_index(spark, at))
-    return rows.join(decode.decode(counts, words, keep_gram=True), "gram").select("ngram", "doc_id", "line_no", "pos")
+    levels = store.Levels(spark, "stored-index")
+    at = f"{levels.path}/index"
+    placed, words = block_index.place_in_blocks(_lines(spark, sf_dir), SUPPORT, levels)
+    store.write_index(block_index.pair_lists(placed, words, SUPPORT), at)
+    levels.drop("placed")
+    store.release(spark)
+    return block_index.decoded_positions(store.read_index(spark, at), words)
 
 
 def stored_text(spark: SparkSession, sf_dir: str) -> DataFrame:

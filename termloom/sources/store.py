@@ -46,7 +46,7 @@ def read_ngrams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(postings: DataFrame, path: str) -> None:
-    postings.write.mode("overwrite").parquet(path)
+    postings.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
