@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from ..sources.store import Levels
 from ..types import NGramType
 from . import blocks
-from .block_levels import _ODD, _ROW, LONGER, OUT, SMALL, STATE, _answer, _first, _marked, _replies, _row, _send
-from .blocks import unpack
+from .block_levels import _ODD, _ROW, LONGER, OUT, SMALL, STATE, _answer, _first, _marked, _parted, _replies, _row, _send
+from .blocks import _batch, pack, unpack
 
 #: So many items are worked off by one task, without further exchanges.
 FINISHED = 1 << 20
+#: After this round, and then each time that their number has doubled, it is tried to part more items into tasks that share none.
+PARTED = 6
 
 
 class _Items:
@@ -118,9 +120,14 @@ def mine_spans(encoded: DataFrame, min_support: int, kind: NGramType, levels: Le
     if not tokens:
         return []
     sent = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-    most, places, state, made, n = most + 1, tokens, None, [], 0
-    write = levels.settle if tokens > SMALL else levels.keep
+    most, places, state, made, n, tried = most + 1, tokens, None, [], 0, PARTED
+    alone = None
     while places and (not n or places > FINISHED):
+        if n == tried:
+            tried *= 2
+            if (alone := _parted_items(state, most, places, levels, n)) is not None:
+                break
+        write = levels.settle if places > SMALL or tokens > SMALL and n % 8 == 0 else levels.keep
         bits = max(12, (most * most).bit_length() if n else most.bit_length())
         if bits > 63:
             raise ValueError("too many n-grams for exact keys")
@@ -173,12 +180,111 @@ def mine_spans(encoded: DataFrame, min_support: int, kind: NGramType, levels: Le
         most = (top or 0) + 1
         n += 1
     if places:
-        write(state.select("block", *"abcde").repartition(1).mapInArrow(_finish(kind, min_support, n == 1), _ROW), f"round-{n}", by="kind")
+        alone = state.select("block", *"abcde").repartition(1) if alone is None else alone
+        levels.keep(alone.mapInArrow(_finish(kind, min_support, n == 1), _ROW), f"round-{n}", by="kind")
         levels.drop(f"round-{n - 1}/kind={STATE}")
         made.append((n, f"round-{n}"))
     return made
 
 
+def _chains(items: _Items, labels: np.ndarray) -> np.ndarray:
+    """The least label of each item's chain of linked items. ``labels``: of the distinct items."""
+    begins = np.flatnonzero(~items.linked)
+    return np.repeat(np.minimum.reduceat(labels[items.index], begins), np.diff(np.append(begins, len(items.linked))))
+
+
+def _parted_items(state: DataFrame, most: int, places: int, levels: Levels, n: int) -> DataFrame | None:
+    """The items so that those of a partition share none with another's; None if they hang together too much.
+
+    Chains that hold the same item get the same label, the least number of an item that is
+    found from one to the other.
+    """
+    bits = max(12, most.bit_length())
+    part_bits = min(bits, max(0, places // blocks.COUNTED).bit_length())
+    sent = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("labels", pa.binary())])
+    limit = FINISHED
+
+    def read(row: dict) -> tuple[_Items, np.ndarray, np.ndarray]:
+        """Items, their order by key, and labels: the least in the block."""
+        items = _Items.read(row)
+        keys = (items.ids.astype(np.uint64) * np.uint64(_ODD)) & np.uint64(2**bits - 1)
+        labels = items.ids.copy()
+        if row.get("replies"):
+            order, edges = np.argsort(keys), _parted(np.sort(keys), bits, part_bits)
+            for r in row["replies"]:
+                labels[order[edges[r["part"]] : edges[r["part"] + 1]]] = unpack(r["labels"])
+        while True:
+            new = labels.copy()
+            np.minimum.at(new, items.index, _chains(items, labels))
+            if (new == labels).all():
+                return items, keys, labels
+            labels = new
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                _, keys, labels = read(row)
+                order = np.argsort(keys)
+                keys, labels = keys[order], labels[order]
+                edges = _parted(keys, bits, part_bits)
+                some = [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+                yield _batch(sent, [p for p, _, _ in some], [row["block"]] * len(some), [pack(np.diff(keys[a:b].astype(np.int64), prepend=0)) for _, a, b in some], [pack(labels[a:b]) for _, a, b in some])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(b)) for b in table.column("keys").to_pylist()]
+        given = np.concatenate([unpack(b) for b in table.column("labels").to_pylist()])
+        found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        least = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, given)
+        edges, labels = np.cumsum([0, *map(len, keys)]), least[inverse]
+        changed = [int((labels[a:b] != given[a:b]).sum()) for a, b in zip(edges, edges[1:], strict=False)]
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "labels": pa.array([pack(labels[a:b]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary()), "changed": pa.array(changed, pa.int64())})
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                items, _, labels = read(batch.slice(k, 1).to_pylist()[0])
+                found, counts = np.unique(labels[items.index], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["label", "n"])
+
+    def split(batches: Iterator[pa.RecordBatch], tasks: int) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                items, _, labels = read(row)
+                mixed = (labels.astype(np.uint64) * np.uint64(_ODD)) >> np.uint64(33)
+                bucket = (mixed % np.uint64(tasks)).astype(np.int64)[items.index]
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(tasks + 1))
+                for b in range(tasks):
+                    at = order[edges[b] : edges[b + 1]]
+                    if len(at):
+                        used, index = np.unique(items.index[at], return_inverse=True)
+                        part = _Items(items.at[at], items.linked[at], index, items.ids[used], items.sums[used], items.sizes[used])
+                        yield pa.RecordBatch.from_arrays([pa.array([b]), *part.row(row["block"]).select(["block", *"abcde"]).columns], ["bucket", "block", *"abcde"])
+
+    held, base = None, state.select("block", *"abcde")
+    for k in range(10):
+        now = base if held is None else base.join(held, "block")
+        met = now.mapInArrow(send, "part int, block long, keys binary, labels binary").groupBy("part").applyInArrow(meet, "block long, part int, labels binary, changed long")
+        held = levels.keep(met.groupBy("block").agg(F.collect_list(F.struct("part", "labels")).alias("replies"), F.sum("changed").alias("changed")), f"labels-{n}-{k}")
+        changed = held.agg(F.sum("changed")).first()[0]
+        held = held.select("block", "replies")
+        if k:
+            levels.drop(f"labels-{n}-{k - 1}")
+        if not changed:
+            break
+    else:
+        return None
+    now = base.join(held, "block")
+    if now.mapInArrow(sizes, "label long, n long").groupBy("label").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > limit:
+        return None
+    tasks = -(-places * 4 // limit)
+    parts = now.mapInArrow(lambda batches: split(batches, tasks), "bucket long, block long, a binary, b binary, c binary, d binary, e binary")
+    return parts.repartition(tasks, "bucket").select("block", *"abcde")
+
+
 def _finish(kind: NGramType, min_support: int, begin: bool):
     """All further rounds of the items of all blocks."""
     limit = FINISHED

@@ -37,6 +37,24 @@ def test_rounds_do_not_follow_the_length(spark, monkeypatch):
     assert got == {3000: 6, 3001: 3} and sum(t.startswith("round-") for t in made) <= 4
 
 
+@pytest.mark.parametrize("kind", list(NGramType))
+def test_items_parted_into_tasks(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    monkeypatch.setattr(block_spans, "FINISHED", 60)
+    monkeypatch.setattr(block_spans, "PARTED", 2)
+    monkeypatch.setattr(blocks, "BLOCK", 70)
+    monkeypatch.setattr(blocks, "COUNTED", 40)
+    texts = []
+    for g in range(6):
+        text = [f"w{g}{rng.randint(0, 5)}" for _ in range(8)]
+        texts += [" ".join(w if rng.random() > 0.06 else "x" for w in text) for _ in range(5)]
+    parted, real = [], block_spans._parted_items
+    monkeypatch.setattr(block_spans, "_parted_items", lambda *a: parted.append(real(*a)) or parted[-1])
+    rows = ngram_statistics(lines(spark, texts), 2, 0, kind).collect()
+    assert {tuple(r["ngram"].split(" ")): r["support"] for r in rows} == brute(texts, 2, 0, kind) and len({r["ngram"] for r in rows}) == len(rows)
+    assert parted and parted[-1] is not None
+
+
 def test_rectangles():
     given = [np.array(x) for x in ([3, 10], [2, 1], [5, 6], [2, 1], [2, 3])]
     rows = [tuple(map(int, r)) for piece in block_levels._spread(*given, 4) for r in zip(*piece, strict=True)]
