@@ -10,6 +10,7 @@ places, lengths and supports.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,30 @@ SMALL = 1 << 24
 RECTANGLES = 1 << 12
 
 
-def _row(kind: int, block: int, *arrays: np.ndarray, top: int = 0) -> pa.RecordBatch:
+def _row(kind: int, block: int, *arrays: np.ndarray, top: int = 0, n: int | None = None) -> pa.RecordBatch:
     cells = [pack(a) for a in arrays]
-    return _batch(_SCHEMA, [kind], [block], [len(arrays[0])], [top], *([x] for x in cells + [pack(arrays[0][:0])] * (5 - len(cells))))
+    return _batch(_SCHEMA, [kind], [block], [len(arrays[0]) if n is None else n], [top], *([x] for x in cells + [pack(arrays[0][:0])] * (5 - len(cells))))
+
+
+def _terms(tids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of terms, their distinct keys below ``2 ** bits`` in order, and which of them each has."""
+    at = np.flatnonzero(tids)
+    mine = tids[at]
+    used = np.flatnonzero(np.bincount(mine))
+    keys = (used.astype(np.uint64) * np.uint64(_ODD)) & np.uint64(2**bits - 1)
+    order = np.argsort(keys)
+    rank = np.zeros(int(mine.max(initial=0)) + 1, np.int64)
+    rank[used[order]] = np.arange(len(used))
+    return at, keys[order], rank[mine]
+
+
+def _singles(row: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, which term each has, and the terms' numbers and supports, of a state that holds only these (0: not frequent) beside the terms."""
+    at, _, index = _terms(unpack(row["tids"]), bits)
+    ids, supports = unpack(row["c"]), unpack(row["d"])
+    often = ids > 0
+    kept = often[index]
+    return at[kept], (np.cumsum(often) - 1)[index[kept]], ids[often], supports[often]
 
 
 def _candidates(at: np.ndarray, ids: np.ndarray, ended: np.ndarray | None, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +144,10 @@ def mine_levels(encoded: DataFrame, min_support: int, max_length: int, kind: NGr
     if not tokens:
         return []
     most, places = most + 1, tokens
-    state, made, n = None, [], 0
+    state, made, n, first_bits = None, [], 0, max(12, most.bit_length())
+    write = partial(levels.settle, key="block") if tokens > SMALL else levels.keep
     while places and (not max_length or n < max_length):
-        bits = max(12, (most * most).bit_length() if n else most.bit_length())
+        bits = max(12, (most * most).bit_length()) if n else first_bits
         if bits > 63:
             raise ValueError("too many n-grams for exact keys")
         part_bits = min(bits, max(0, places // blocks.COUNTED).bit_length())
@@ -134,10 +157,12 @@ def mine_levels(encoded: DataFrame, min_support: int, max_length: int, kind: NGr
             """Terms; places, which of the block's n-grams each has, their numbers and supports; where runs end; which places go on, and their keys."""
             tids = unpack(row["tids"]) if length == 0 or suffixes else None
             if length == 0:
-                at = np.flatnonzero(tids)
-                keys = (tids[at].astype(np.uint64) * np.uint64(_ODD)) & np.uint64(2**bits - 1)
-                return tids, at, None, None, None, None, np.arange(len(at)), keys
-            at, index, ids, supports = np.cumsum(unpack(row["a"])), unpack(row["b"]), unpack(row["c"]), unpack(row["d"])
+                at, keys, index = _terms(tids, bits)
+                return tids, at, None, None, None, None, np.arange(len(at)), keys[index]
+            if length == 1:
+                at, index, ids, supports = _singles(row, first_bits)
+            else:
+                at, index, ids, supports = np.cumsum(unpack(row["a"])), unpack(row["b"]), unpack(row["c"]), unpack(row["d"])
             ended = np.append(tids, 0)[at + length] == 0 if suffixes else None
             return tids, at, index, ids, supports, ended, *_candidates(at, ids[index], ended, most, bits)
 
@@ -189,6 +214,8 @@ def mine_levels(encoded: DataFrame, min_support: int, max_length: int, kind: NGr
                     if last:
                         put = np.flatnonzero(_marked(len(at), begins) & goes)
                         yield _row(OUT, block, np.diff(at[put], prepend=0), np.full(len(put), length + 1), longer[put] >> 1, np.zeros(len(put), np.int64))
+                    elif not length and goes.any():  # places and their terms are those of the block
+                        yield _row(STATE, block, at[:0], at[:0], numbers, sums, top=int(numbers.max()), n=int(goes.sum()))
                     elif goes.any():
                         some = np.zeros(len(found), bool)
                         some[inverse[goes[which]]] = True
@@ -197,11 +224,10 @@ def mine_levels(encoded: DataFrame, min_support: int, max_length: int, kind: NGr
                         yield _row(STATE, block, np.diff(at[goes], prepend=0), index[goes], numbers[some], sums[some], top=int(numbers[some].max()))
 
         held = encoded.select("block", "tids") if state is None else state.select("block", *"abcd")
-        if suffixes and state is not None:
+        if n == 1 or suffixes and n:
             held = held.join(encoded.select("block", "tids"), "block")
         replies = _replies(held.mapInArrow(send, "part int, block long, keys binary, counts binary"), least, part_bits)
         name = f"level-{n + 1}"
-        write = levels.settle if tokens > SMALL else levels.keep
         table = write(held.join(replies, "block", "left").mapInArrow(step, _ROW), name, by="kind")
         if n:
             levels.drop(f"level-{n}/kind={STATE}")

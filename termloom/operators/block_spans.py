@@ -16,6 +16,7 @@ they are rectangles of starts and ends.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..sources.store import Levels
 from ..types import NGramType
 from . import blocks
-from .block_levels import _ODD, _ROW, LONGER, OUT, SMALL, STATE, _answer, _first, _marked, _parted, _replies, _row, _send
+from .block_levels import _ODD, _ROW, LONGER, OUT, SMALL, STATE, _answer, _first, _marked, _parted, _replies, _row, _send, _singles, _terms
 from .blocks import _batch, pack, unpack
 
 #: So many items are worked off by one task, without further exchanges.
@@ -40,6 +41,12 @@ class _Items:
     def __init__(self, at: np.ndarray, linked: np.ndarray, index: np.ndarray, ids: np.ndarray, sums: np.ndarray, sizes: np.ndarray):
         self.at, self.linked, self.index, self.ids, self.sums, self.sizes = at, linked, index, ids, sums, sizes
 
+    @classmethod
+    def singles(cls, row: dict, bits: int) -> _Items:
+        """Terms, of the state after the first round."""
+        at, index, ids, sums = _singles(row, bits)
+        return cls(at, np.append(False, np.diff(at) == 1)[: len(at)], index, ids, sums, np.ones(len(ids), np.int64))
+
     @classmethod
     def read(cls, row: dict) -> _Items:
         b = unpack(row["b"])
@@ -121,25 +128,24 @@ def mine_spans(encoded: DataFrame, min_support: int, kind: NGramType, levels: Le
         return []
     sent = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     most, places, state, made, n, tried = most + 1, tokens, None, [], 0, PARTED
-    alone = None
-    while places and (not n or places > FINISHED):
+    alone, first_bits, bare = None, max(12, most.bit_length()), tokens > FINISHED
+    while places and (not n or places > FINISHED or bare and n == 1):
         if n == tried:
             tried *= 2
             if (alone := _parted_items(state, most, places, levels, n)) is not None:
                 break
-        write = levels.settle if places > SMALL or tokens > SMALL and n % 8 == 0 else levels.keep
-        bits = max(12, (most * most).bit_length() if n else most.bit_length())
+        write = partial(levels.settle, key="block") if places > SMALL else levels.settle if tokens > SMALL and n % 8 == 0 else levels.keep
+        bits = max(12, (most * most).bit_length()) if n else first_bits
         if bits > 63:
             raise ValueError("too many n-grams for exact keys")
         part_bits = min(bits, max(0, places // blocks.COUNTED).bit_length())
 
         def begun(row: dict, n=n, most=most, bits=bits) -> tuple:
             if n:
-                items = _Items.read(row)
+                items = _Items.singles(row, first_bits) if bare and n == 1 else _Items.read(row)
                 return items, *items.pairs(most, bits)
-            tids = unpack(row["tids"])
-            at = np.flatnonzero(tids)
-            return None, at, (tids[at].astype(np.uint64) * np.uint64(_ODD)) & np.uint64(2**bits - 1)
+            at, keys, index = _terms(unpack(row["tids"]), bits)
+            return None, at, keys[index]
 
         def send(batches: Iterator[pa.RecordBatch], begun=begun, bits=bits, part_bits=part_bits) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -156,6 +162,10 @@ def mine_spans(encoded: DataFrame, min_support: int, kind: NGramType, levels: Le
                     ids, sums = _answer(found, row["replies"], bits, part_bits)
                     if not n:
                         often = ids > 0
+                        if bare:
+                            if often.any():  # places and their terms are those of the block
+                                yield _row(STATE, row["block"], which[:0], which[:0], ids, sums, top=int(ids.max()), n=int(often[inverse].sum()))
+                            continue
                         which, index = which[often[inverse]], (np.cumsum(often) - 1)[inverse][often[inverse]]
                         linked = np.append(False, np.diff(which) == 1)[: len(which)]
                         grown = _Items(which, linked, index, ids[often], sums[often], np.ones(int(often.sum()), np.int64))
@@ -170,6 +180,8 @@ def mine_spans(encoded: DataFrame, min_support: int, kind: NGramType, levels: Le
                         yield grown.row(row["block"])
 
         held = encoded.select("block", "tids") if state is None else state.select("block", *"abcde")
+        if bare and n == 1:
+            held = held.join(encoded.select("block", "tids"), "block")
         replies = _replies(held.mapInArrow(send, "part int, block long, keys binary, counts binary"), min_support, part_bits)
         table = write(held.join(replies, "block", "left").mapInArrow(step, _ROW), f"round-{n}", by="kind")
         if n:

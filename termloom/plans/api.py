@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import block_levels
 from ..operators.apriori_index import apriori_index_ngrams
 from ..operators.apriori_scan import apriori_scan_ngrams
 from ..operators.block_levels import mine_levels, put_out
@@ -16,7 +17,7 @@ from ..operators.dictionary import build_dictionary, tokens, word_counts
 from ..operators.encode import explode_lines, frequent_tokens, frequent_words
 from ..operators.naive import naive_ngrams
 from ..operators.suffix import LONG, suffix_ngrams
-from ..sources.store import Levels
+from ..sources.store import Levels, release
 from ..types import NGramType, Params
 
 _METHODS = {"suffix": suffix_ngrams, "naive": naive_ngrams, "apriori_scan": apriori_scan_ngrams, "apriori_index": apriori_index_ngrams}
@@ -33,9 +34,17 @@ def encode_in_blocks(lines: DataFrame, min_support: int, levels: Levels, empty_t
     """Blocks of the ids of frequent words, and the dictionary of these words; both are written to ``levels``."""
     blocks = levels.keep(word_blocks(lines, empty_token), "words")
     frequent = levels.keep(build_dictionary(block_counts(blocks).where(F.col("count") >= min_support)), "frequent")
-    encoded = levels.settle(encoded_blocks(blocks, frequent), "encoded")
+    return _encoded(blocks, frequent, frequent, levels), frequent
+
+
+def _encoded(blocks: DataFrame, dictionary: DataFrame, counts: DataFrame, levels: Levels) -> DataFrame:
+    """Encoded blocks, written to ``levels``; of many tokens, so that joins leave them where they are."""
+    large = (counts.agg(F.sum("count")).first()[0] or 0) > block_levels.SMALL
+    if large:
+        release(levels.spark)
+    encoded = levels.settle(encoded_blocks(blocks, dictionary), "encoded", key="block" if large else None)
     levels.drop("words")
-    return encoded, frequent
+    return encoded
 
 
 def ngram_statistics_lines(lines: DataFrame, dictionary: DataFrame, params: Params) -> DataFrame:
@@ -44,9 +53,8 @@ def ngram_statistics_lines(lines: DataFrame, dictionary: DataFrame, params: Para
         return ngram_statistics_encoded(explode_lines(lines), dictionary, params.min_support, params.max_length, params.kind, params.method)
     levels = Levels(lines.sparkSession, "blocks")
     blocks = levels.keep(list_blocks(lines.where(F.size("tids") > 0).select(F.col("tids").cast("array<string>").alias("words"))), "words")
-    frequent = dictionary.where(F.col("count") >= params.min_support).select(F.col("tid").cast("string").alias("word"), "tid")
-    encoded = levels.settle(encoded_blocks(blocks, frequent), "encoded")
-    levels.drop("words")
+    counts = dictionary.where(F.col("count") >= params.min_support)
+    encoded = _encoded(blocks, counts.select(F.col("tid").cast("string").alias("word"), "tid"), counts, levels)
     return _mined(encoded, params, levels, decoded=False)
 
 

@@ -103,12 +103,21 @@ class Levels:
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{table}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
 
-    def settle(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
-        """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected."""
-        kept = self.keep(df, table, by)
+    def settle(self, df: DataFrame, table: str, by: str | None = None, key: str | None = None) -> DataFrame:
+        """:meth:`keep`, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver's garbage is collected.
+
+        ``key``: the table lies in buckets of that column, so that joins by it need not send its rows.
+        """
+        kept = self._bucketed(df, table, by, key) if key else self.keep(df, table, by)
         release(self.spark)
         return kept
 
+    def _bucketed(self, df: DataFrame, table: str, by: str | None, key: str) -> DataFrame:
+        name = f"termloom_{uuid.uuid4().hex}"
+        writer = df.write.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", f"{self.path}/{table}")
+        (writer.partitionBy(by) if by else writer).saveAsTable(name, format="parquet")
+        return self.spark.table(name)
+
     def holds(self, table: str) -> bool:
         path, files = self._files(f"{self.path}/{table}")
         return files.exists(path)
