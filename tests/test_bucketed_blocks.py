@@ -48,3 +48,12 @@ def test_first_state_holds_no_places(spark, large, monkeypatch):
     encoded, _ = encode_in_blocks(lines(spark, _texts()), 2, levels)
     block_levels.mine_levels(encoded, 2, 3, NGramType.ALL, levels)
     assert kept and all(r["n"] > 0 and not len(unpack(r["a"])) and not len(unpack(r["b"])) for r in kept)
+
+
+def test_first_state_of_spans_holds_no_places(spark, large, monkeypatch):
+    kept, write = [], Levels.drop
+    monkeypatch.setattr(Levels, "drop", lambda self, table: (kept.extend(self.spark.read.parquet(f"{self.path}/{table}").collect() if table.startswith("round-0/") else []), write(self, table))[1])
+    levels = Levels(spark, "test")
+    encoded, _ = encode_in_blocks(lines(spark, _texts()), 2, levels)
+    block_spans.mine_spans(encoded, 2, NGramType.MAXIMAL, levels)
+    assert kept and all(r["n"] > 0 and not len(unpack(r["a"])) and not len(unpack(r["b"])) for r in kept)
